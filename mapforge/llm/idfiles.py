@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_names, new_path, partitions, pieces, saved
-from .tokens import codec
+from .tokens import CHUNK, codec
 
 MAGIC = b"MFDAC001"
 CHUNK_BITS, BLOCK_BITS = 8, 512
@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataF
             held, n = 0, n + 1
             return row
 
-        for batch, texts in pieces(batches):
+        for batch, texts in pieces(batches, limit=CHUNK):
             flat, each = own.encode(texts)
             whole = np.full(len(flat) + len(each), end_id, np.uint32)
             ends = np.cumsum(each + 1) - 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_names, pieces, ragged, saved
-from .tokens import codec
+from .tokens import CHUNK, codec
 
 #: Sequence length, open windows of a partition, and partitions whose leftovers one task merges.
 LENGTH, OPEN, FAN_IN = 1024, 256, 32
@@ -73,7 +73,7 @@ def _placed(docs: DataFrame, path: str, end_id: int, length: int, most: int, pay
             last = pa.array(cols[6], pa.list_(pa.int32()) if payload == "ids" else pa.int64())
             return pa.RecordBatch.from_arrays([*out, pa.array([part_id] * len(rows), pa.int64()), pa.array([closed] * len(rows)), last], ["doc_id", "start", "length", "doc_tokens", "window", "offset", "part", "closed", payload])
 
-        for part, texts in pieces(batches):
+        for part, texts in pieces(batches, limit=CHUNK):
             flat, sizes = own.encode(texts)
             done: list = []
             at = 0

@@ -15,13 +15,14 @@ library's own pre-tokenizer cuts the text, and only single long pre-tokens are h
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import column_names, pieces, ragged
@@ -30,13 +31,38 @@ from .common import column_names, pieces, ragged
 LONG, LEAF = 2048, 512
 #: Tokens on each side of a join that the first window holds.
 WINDOW = 8
-#: Cuts after which a worker's memory of them starts afresh.
-CACHE_CUTS = 400_000
+#: Cuts after which a worker's memory of them starts afresh, and characters that it encodes at a time.
+CACHE_CUTS = 300_000
+CHUNK = 2_000_000
 
 _CUTS = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], in UTF-8.
 _OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
+#: Texts of ASCII and the Latin-1 letters are cut into pre-tokens here, by the same patterns as the library's; their
+#: letters are composed already and lower-case one by one. All others go through the library's own steps.
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_BLANK = r" \t\n\x0b\x0c\r"
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PATTERNS = {
+    "bytes": "{0}| ?[{1}]+| ?[0-9]+| ?[^{2}{1}0-9]+|[{2}]+(?![^{2}])|[{2}]+",
+    "words": "{0}|[{1}]+|[0-9]|[^{2}{1}0-9]+",
+}
+_PRETOKENS = {k: re.compile(v.format(_CONTRACTIONS, _LETTERS, _BLANK)) for k, v in _PATTERNS.items()}
+#: The same for many texts at once, which NUL parts: it counts as white space, so that nothing reaches across it.
+_PARTED = {k: re.compile("\x00|" + v.format(_CONTRACTIONS, _LETTERS, _BLANK + r"\x00").replace(f"[{_BLANK}\\x00]+", f"[{_BLANK}]+")) for k, v in _PATTERNS.items()}
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable, else the next one from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTES = _byte_alphabet()
+
 
 def load(path: str) -> Tokenizer:
     tok = Tokenizer.from_file(path)
@@ -72,20 +98,71 @@ def join_encoded(text: str, cut: int, left: list[tuple[int, int]], right: list[t
         window *= 2
 
 
+def _kind(said: dict) -> str | None:
+    """Which of the two known ways of cutting into pre-tokens a vocabulary has."""
+    pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer")
+    if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in said["added_tokens"]):
+        return None
+    if norm is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]:
+        return "bytes"
+    steps = [x["type"] for x in (norm or {}).get("normalizers", [])], [x["type"] for x in pre.get("pretokenizers", [])]
+    if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and pre["pretokenizers"][0]["pattern"]["Regex"] == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+        return "words"
+    return None
+
+
+def _kernel(said: dict):
+    """A faster encoder of single pre-tokens as bytes with the same merges, or None if ids don't follow the merges' order.
+
+    A vocabulary with an end-of-word suffix gets the byte 0xFF in its place, which no UTF-8 text holds: pairs of a byte
+    and that mark come before all merges, just as the suffixed characters are there before any merge.
+    """
+    model, special = said["model"], {t["content"] for t in said["added_tokens"]}
+    suffix, byte = model.get("end_of_word_suffix") or "", {c: b for b, c in _BYTES.items()}
+    ranks = {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            end = suffix and token.endswith(suffix)
+            ranks[bytes(byte[c] for c in (token[: -len(suffix)] if end else token)) + (b"\xff" if end else b"")] = i
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:])) or made and made[0] != len(ranks) - len(made) or len(set(ranks.values())) != len(ranks):
+        return None
+    return tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
+class _Cuts(dict):
+    """Numbers cuts in the order of their first lookup and notes the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, cut: bytes) -> int:
+        n = self[cut] = len(self)
+        self.new.append(cut)
+        return n
+
+
 class Codec:
     """Encodes texts with one vocabulary, remembering cuts."""
 
     def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, cache: int = CACHE_CUTS):
         self.tok, self.long, self.leaf, self.cache = load(path), long, leaf, cache
         self.bare = Tokenizer(self.tok.model)
+        said = json.loads(self.tok.to_str())
+        self.kind = _kind(said)
+        self.kernel = _kernel(said) if self.kind else None
+        self.end = b"\xff" if said["model"].get("end_of_word_suffix") else b""
+        self.specials = [t["content"] for t in said["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Cuts()
         self.foreign: set[int] = set()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.bounds = np.zeros(1 << 16, np.int64)  # where the ids of each known cut begin, and one place more
+        self.tokens: dict[str, list[int]] = {}  # ids of pre-tokens of up to three characters
 
     # Single strings
 
@@ -99,7 +176,7 @@ class Codec:
     def pretoken(self, word: str) -> list[int]:
         """Ids of one pre-token, in the alphabet that the model works on; long ones by tree concatenation."""
         if len(word) <= self.long:
-            return [t for t, _ in self._model(word)]
+            return [t.id for t in self.tok.model.tokenize(word)]
         bounds = [*range(0, len(word), self.leaf), len(word)]
         parts = [[(t, s + a) for t, s in got] for a, got in zip(bounds, self._models([word[a:b] for a, b in zip(bounds, bounds[1:])]))]
         while len(parts) > 1:
@@ -117,40 +194,70 @@ class Codec:
         return [t for t, _ in parts[0]]
 
     def _unsplit(self, text: str) -> list[int]:
-        """Ids of a text that may hold long pre-tokens. Special tokens' strings stand for these tokens, as in the library."""
-        specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        """Ids of any text. Special tokens' strings stand for these tokens, as in the library."""
         out: list[int] = []
-        for part in re.split(f"({'|'.join(map(re.escape, specials))})", text) if specials else [text]:
-            if part in specials:
-                out.append(self.tok.token_to_id(part))
-            elif part:
-                plain = self.tok.normalizer.normalize_str(part) if self.tok.normalizer else part
-                for word, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain):
-                    out.extend(self.pretoken(word))
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += [*self._ordinary(text[at : m.start()]), self.tok.token_to_id(m[0])]
+            at = m.end()
+        return out + self._ordinary(text[at:])
+
+    def _ordinary(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        out: list[int] = []
+        if self.kernel and _PLAIN.fullmatch(text):
+            for w in _PRETOKENS[self.kind].findall(text.lower() if self.kind == "words" else text):
+                if len(w) <= 3 and w in self.tokens:
+                    out += self.tokens[w]
+                elif len(w) > self.long:
+                    out += self.pretoken(w.encode().decode("latin-1").translate(_BYTES))
+                else:
+                    got = self.kernel(w.encode() + self.end)
+                    if len(w) <= 3:
+                        self.tokens[w] = got
+                    out += got
+            return out
+        plain = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(plain):
+            out += self.pretoken(w)
         return out
 
-    def _fresh(self, texts: list[str]) -> list[list[int]]:
-        short = [t for t in texts if len(t) <= self.long]
-        got = iter(self.tok.encode_batch(short, add_special_tokens=False)) if short else iter(())
-        return [next(got).ids if len(t) <= self.long else self._unsplit(t) for t in texts]
-
     # Many texts
 
-    def _learn(self, cuts: list[bytes]) -> None:
-        new = list(set(cuts).difference(self.known))
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        n = len(self.known) - len(new)
+        if len(self.known) >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros(max(len(self.bounds), len(new)), np.int64)])
         if not new:
             return
-        for cut, ids in zip(new, self._fresh([c.decode("utf-8", "surrogatepass") for c in new])):
-            n = len(ids)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
-            self.flat[self.used : self.used + n] = ids
-            if _OTHER_SPACE.search(cut):
-                self.foreign.add(len(self.starts))
-            self.known[cut] = len(self.starts)
-            self.starts.append(self.used)
-            self.lengths.append(n)
-            self.used += n
+        all_ids: list[int] = []
+        joined = b"\x00".join(new).decode("utf-8", "surrogatepass")
+        simple = self.kernel and len(max(new, key=len)) <= self.long and joined.count("\x00") == len(new) - 1 and _PLAIN.fullmatch(joined) and not (self.special and self.special.search(joined))
+        if simple:
+            at, kernel, end, short = n + 1, self.kernel, self.end, self.tokens
+            for w in _PARTED[self.kind].findall(joined.lower() if self.kind == "words" else joined):
+                if w == "\x00":
+                    self.bounds[at] = self.used + len(all_ids)
+                    at += 1
+                elif w in short:
+                    all_ids += short[w]
+                else:
+                    got = kernel(w.encode() + end)
+                    all_ids += got
+                    if len(w) <= 3:
+                        short[w] = got
+            self.bounds[at] = self.used + len(all_ids)
+        else:
+            for i, cut in enumerate(new, n):
+                all_ids += self._unsplit(cut.decode("utf-8", "surrogatepass"))
+                self.bounds[i + 1] = self.used + len(all_ids)
+        if _OTHER_SPACE.search(b"\x00".join(new)):
+            self.foreign.update(i for i, cut in enumerate(new, n) if _OTHER_SPACE.search(cut))
+        if self.used + len(all_ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * (self.used + len(all_ids)), np.uint32)])
+        self.flat[self.used : self.used + len(all_ids)] = all_ids
+        self.used += len(all_ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as uint32, one text after the other, and each text's number of ids."""
@@ -159,9 +266,10 @@ class Codec:
         split = [_CUTS.findall(t.encode("utf-8", "surrogatepass")) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         cuts = [c for s in split for c in s]
-        self._learn(cuts)
         at = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
-        starts, lengths = np.array(self.starts, np.int64)[at] if cuts else at, np.array(self.lengths, np.int64)[at] if cuts else at
+        self._learn()
+        starts = self.bounds[at]
+        lengths = self.bounds[at + 1] - starts
         before = np.cumsum(lengths) - lengths
         ids = self.flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
         sums = np.concatenate([[0], np.cumsum(lengths)])
@@ -174,7 +282,7 @@ class Codec:
             if len(whole):
                 parts = np.split(ids, np.cumsum(sizes)[:-1])
                 for i in whole.tolist():
-                    parts[i] = np.array(self._unsplit(texts[i]) if len(texts[i]) > self.long else self.tok.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                    parts[i] = np.array(self._unsplit(texts[i]), np.uint32)
                 ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, sizes
 
@@ -195,7 +303,7 @@ def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches):
         own = codec(path, long, leaf)
-        for part, texts in pieces(batches, text):
+        for part, texts in pieces(batches, text, CHUNK):
             flat, sizes = own.encode(texts)
             yield pa.RecordBatch.from_arrays([part.column(key), ragged(flat.astype(np.int32), sizes, pa.int32())], [key, ids])
 
@@ -203,34 +311,38 @@ def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return column_names(docs, key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
 
 
-def decode_column(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """encoded with a column more: the text of its ids, special tokens' strings included. Null ids count as none."""
-    others = [c for c in encoded.columns if c != ids]
+def decode(tok: Tokenizer, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The texts of consecutive runs of ids, special tokens' strings included."""
+    ends = np.cumsum(sizes).tolist()
+    return tok.decode_batch([flat[e - n : e].tolist() for e, n in zip(ends, sizes.tolist())], skip_special_tokens=False)
+
+
+def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """(key, text): the text of each row's ids. Null ids count as none."""
 
     def run(batches):
         tok = codec(path).tok
         for batch in batches:
-            at, lists = 0, batch.column(batch.schema.get_field_index(ids))
-            while at < batch.num_rows:
-                stop, held = at, 0
-                while stop < batch.num_rows and (stop == at or held < 1_000_000):
-                    held += len(lists[stop]) if lists[stop].is_valid else 0
-                    stop += 1
-                texts = tok.decode_batch([x or [] for x in lists.slice(at, stop - at).to_pylist()], skip_special_tokens=False)
-                part = batch.slice(at, stop - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in others), pa.array(texts, pa.string())], [*others, text])
-                at = stop
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = [x or [] for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(tok.decode_batch(lists, skip_special_tokens=False), pa.string())], [key, text])
 
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in others)
-    return encoded.mapInArrow(run, f"{schema}, `{text}` string")
+    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, `{text}` string")
 
 
 def round_trip(docs: DataFrame, path: str, long: int = LONG, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, n_tokens, ids_text, decoded): ids as decimals joined by a space, and what they decode to.
+    """(doc_id, ids array<int>, decoded): each whole text's ids, and the text that these decode to.
 
     One row for each row of docs; a null or empty text has no ids and decodes to the empty text. Null or repeated
-    doc_ids are carried along; other columns are ignored.
+    doc_ids are carried along; other columns are ignored. Both steps are in one pass: a second one would need a
+    second Python worker, with a vocabulary and a memory of cuts of its own, beside each task.
     """
-    ids = encode_column(docs, path, long=long, leaf=leaf)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids_text"), "ids")
-    return decode_column(told, path)
+
+    def run(batches):
+        own = codec(path, long, leaf)
+        for part, texts in pieces(batches, limit=CHUNK):
+            flat, sizes = own.encode(texts)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ragged(flat.astype(np.int32), sizes, pa.int32()), pa.array(decode(own.tok, flat, sizes), pa.string())], ["doc_id", "ids", "decoded"])
+
+    return column_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
