@@ -33,7 +33,7 @@ MAGIC = b"MFDAC001"
 CHUNK_BITS, BLOCK_BITS = 8, 512
 NO_ID = -(2**63)
 #: Ids after which a task begins another file; bounds what is in memory at a time.
-FILE_IDS = 8_000_000
+FILE_IDS = 2_000_000
 
 
 class Level:
