@@ -12,6 +12,7 @@ from . import idfiles, packing, tokens
 from .common import read
 from .exact import exact_duplicates
 from .minhash import near_duplicates
+from .rules import quality_rules
 from .urls import url_verdicts
 from .warc import archived
 
@@ -53,6 +54,10 @@ def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.with_crc32(idfiles.written_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
