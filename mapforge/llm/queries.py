@@ -12,6 +12,7 @@ from . import idfiles, packing, tokens
 from .common import read
 from .exact import exact_duplicates
 from .minhash import near_duplicates
+from .quality import quality_scores
 from .rules import quality_rules
 from .urls import url_verdicts
 from .warc import archived
@@ -50,6 +51,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.with_crc32(idfiles.written_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
