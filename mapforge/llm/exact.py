@@ -161,3 +161,16 @@ def exact_duplicates(docs: DataFrame, page: int = PAGE_BYTES, bits: int | None =
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(alone, True).otherwise(F.col("row") == F.col("stays")).alias("kept"), F.lower(F.hex("link")).alias("text_sha256"),
     )
+
+
+def without_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that exact_duplicates() keeps.
+
+    Rows without a doc_id stay. Rows that repeat a doc_id stay if one of them is kept, one for each normalised text.
+    """
+    found = exact_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = found.filter("doc_id is not null and not kept").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.filter("doc_id is not null and n > 1").select("doc_id")
+    one = left.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("__norm", normalised()).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)

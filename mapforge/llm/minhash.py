@@ -211,3 +211,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return sigs.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group of near-duplicates.
+
+    Rows without a doc_id stay; rows that repeat a doc_id are one document and stay or go together.
+    """
+    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

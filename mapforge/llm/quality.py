@@ -209,3 +209,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """score() by the model that fit() makes. Without labels of the training fold every score is a half."""
     return score(docs, fit(docs, labels, most), threshold)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least threshold; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        vectors = Vectors(sent.value.known)
+        for part, texts in pieces(batches, limit=1_500_000):
+            yield part.filter(pa.array(sent.value.scores(vectors.documents(texts)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ from . import idfiles, packing, tokens
 from .common import read
 from .exact import exact_duplicates
 from .minhash import near_duplicates
+from .passages import repeated_passages
 from .quality import quality_scores
 from .rules import quality_rules
 from .urls import url_verdicts
@@ -51,6 +52,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
 
