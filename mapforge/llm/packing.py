@@ -71,7 +71,7 @@ def _placed(docs: DataFrame, path: str, end_id: int, length: int, most: int, pay
             kinds = [pa.int64()] * 6
             out = [pa.array(c, k) for c, k in zip(cols[:6], kinds)]
             last = pa.array(cols[6], pa.list_(pa.int32()) if payload == "ids" else pa.int64())
-            return pa.RecordBatch.from_arrays([*out, pa.array([part_id] * len(rows), pa.int64()), pa.array([closed] * len(rows)), last], ["doc_id", "start", "length", "doc_tokens", "window", "offset", "part", "closed", payload])
+            return pa.RecordBatch.from_arrays([*out, pa.array([part_id] * len(rows), pa.int64()), pa.array([closed] * len(rows), pa.bool_()), last], ["doc_id", "start", "length", "doc_tokens", "window", "offset", "part", "closed", payload])
 
         for part, texts in pieces(batches, limit=CHUNK):
             flat, sizes = own.encode(texts)
