@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mapforge.llm import common, exact, minhash, packing, passages, quality
 
@@ -30,7 +31,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document has are taken out; a document without other words goes."""
-    return passages.removed_passages(docs, least=50)
+    left = passages.removed_passages(docs, least=50)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in left.columns else left
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
