@@ -46,9 +46,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as a table in the shared folder: lineage is cut, and a lost executor loses nothing."""
+    """The rows of df, written as a table in the shared folder: lineage is cut, and a lost executor loses nothing.
+
+    What the driver held for the step is garbage then. Collecting it at once lets Spark's cleaner delete the step's
+    shuffle files, which else stay on the executors' disks until the driver happens to collect.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

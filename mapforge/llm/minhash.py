@@ -147,9 +147,10 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(held[slots])], ["slot", "n"])
 
     # SKETCH counters at most come to the driver, whatever the input.
-    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     often = np.ones(SKETCH, np.uint32)
-    often[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**32 - 1)
+    often[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
+    del got
     sent = spark.sparkContext.broadcast(often)
 
     def prefix(batches):
@@ -191,9 +192,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = saved(bucket_keys(heads).join(hubs.select("key", "hub"), "key").select("key", "doc_id", "hub"), "buckets")
 
     stars = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    close = saved(_near(stars, heads), "pairs")
     sets = saved(_full_sets(docs, shared.select("doc_id").distinct()), "sets")
-    links = saved(_confirmed(close, sets, percent), "links")
+    links = saved(_confirmed(_near(stars, heads), sets, percent), "links")
     first = saved(components(links), "components")
 
     # Buckets that hold several components may hide further links.
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = saved(member.join(open_keys, "key").select("doc_id", "component").distinct(), "open")
     more = _prefix_pairs(sets.join(rest.select("doc_id"), "doc_id", "left_semi"), rest, percent)
-    more = saved(_confirmed(saved(_near(more, heads), "pairs"), sets, percent), "links")
+    more = saved(_confirmed(_near(more, heads), sets, percent), "links")
 
     # One doc_id may stand in several rows and so in several classes: those are one document.
     same = real.select("doc_id", "f1", "f2", "n_shingles").join(heads.select("f1", "f2", "n_shingles", F.col("doc_id").alias("head")), ["f1", "f2", "n_shingles"])
