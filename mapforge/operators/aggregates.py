@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import NAN, ratio
+from .joins import on_keys
 from .storage import saved
 
 
@@ -35,17 +36,12 @@ def moments(df: DataFrame, value: str, keys: list[str] = [], mask: str | None =
     v = unmasked(value, mask)
     n = F.count(v)
     first = df.groupBy(*keys).agg(n.alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k"))
-    if keys:
-        on = [df[k].eqNullSafe(first[k]) for k in keys]
-        dev = df.join(first.select(*keys, "mean"), on).groupBy(*[first[k] for k in keys])
-    else:
-        dev = df.crossJoin(F.broadcast(first.select("mean"))).groupBy()  # one row
-    dev = dev.agg(F.avg(F.abs(unmasked(value, mask) - F.col("mean"))).alias("d"))
-    both = first.join(dev, [first[k].eqNullSafe(dev[k]) for k in keys]) if keys else first.crossJoin(dev)
+    dev = on_keys(df, first.select(*keys, "mean"), keys).groupBy(*keys).agg(F.avg(F.abs(v - F.col("mean"))).alias("d"))
+    both = on_keys(first, dev, keys)
     share = ratio(F.col("n") - 1.0, F.col("n").cast("double"))
     flat = (F.col("n") <= 1) | (F.col("variance") == 0)
     return both.select(
-        *[first[k] for k in keys], "n", F.coalesce("mean", F.lit(NAN)).alias("mean"), F.when(F.col("n") > 1, F.col("variance")).otherwise(NAN).alias("variance"),
+        *keys, "n", F.coalesce("mean", F.lit(NAN)).alias("mean"), F.when(F.col("n") > 1, F.col("variance")).otherwise(NAN).alias("variance"),
         F.when(flat, NAN).otherwise(F.col("s") * F.pow(share, 1.5)).alias("skewness"), F.when(flat, NAN).otherwise((F.col("k") + 3) * share * share - 3).alias("kurtosis"),
         F.when(F.col("n") > 1, F.sqrt("variance")).otherwise(NAN).alias("stddev"), F.coalesce("d", F.lit(NAN)).alias("meandev"),
     )
@@ -68,7 +64,7 @@ def median(df: DataFrame, value: str, keys: list[str], name: str = "median", mas
 def mad(df: DataFrame, value: str, keys: list[str], mask: str | None = None) -> DataFrame:
     """(keys, median, mad): lower median, and lower median of the absolute deviations from it."""
     med = median(df, value, keys, "median", mask)
-    joined = df.join(med, [df[k].eqNullSafe(med[k]) for k in keys]).select(*[df[k] for k in keys], "median", F.abs(unmasked(value, mask) - F.col("median")).alias("__d"))
+    joined = on_keys(df, med, keys).select(*keys, "median", F.abs(unmasked(value, mask) - F.col("median")).alias("__d"))
     return joined.withColumn("__v", F.when(~F.isnan("__d"), F.col("__d"))).groupBy(*keys).agg(F.first("median").alias("median"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY __v)").alias("mad"))
 
 
@@ -177,7 +173,7 @@ def sigma_clip(df: DataFrame, value: str, keys: list[str], nsigma: float, most:
     while True:
         stats = out.groupBy(*keys).agg(F.avg(F.when(~F.col("rejected"), F.col(value))).alias("__m"), F.stddev_samp(F.when(~F.col("rejected"), F.col(value))).alias("__s"))
         far = F.coalesce(F.abs(F.col(value) - F.col("__m")) > nsigma * F.col("__s"), F.lit(False))
-        joined = out.join(stats, [out[k].eqNullSafe(stats[k]) for k in keys]).select(*[out[c] for c in df.columns], (F.col("rejected") | far).alias("rejected"))
+        joined = on_keys(out, stats, keys).select(*df.columns, (F.col("rejected") | far).alias("rejected"))
         out = saved(joined, "clip")
         now = out.filter("rejected").count()
         passes += 1

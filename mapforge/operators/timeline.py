@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import on_keys
+
 
 def over(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
@@ -60,8 +62,8 @@ def shift(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> Dat
 def shift_by(df: DataFrame, keys: list[str], order: str, value: str, offset: str) -> DataFrame:
     """As shift, with an offset for each key in a column: a self-join on the place that a value comes from."""
     source = df.select(*keys, F.col(order).alias("__o"), F.col(value).alias("__x"))
-    on = [df[k].eqNullSafe(source[k]) for k in keys] + [df[order] - df[offset] == source["__o"]]
-    return df.join(source, on, "left").select(*[df[c] if c != value else F.coalesce("__x", F.lit(0.0)).alias(value) for c in df.columns])
+    joined = on_keys(df, source, keys, "left", F.col(order) - F.col(offset) == F.col("__o"))
+    return joined.select(*[F.col(c) if c != value else F.coalesce("__x", F.lit(0.0)).alias(value) for c in df.columns])
 
 
 def pad(df: DataFrame, keys: list[str], order: str, value: str, left: int = 0, right: int = 0) -> DataFrame:
@@ -130,8 +132,8 @@ def unpack(packed: DataFrame, full: DataFrame, keys: list[str], order: str, valu
     """Packed values at the unmasked places of `full` (keys, order, mask), 0 at the masked ones; the adjoint of pack."""
     placed = full.select(*keys, order, mask).withColumn("__p", F.sum(F.when(F.col(mask), 0).otherwise(1)).over(over(keys, order)) - 1)
     p = packed.select(*keys, F.col(order).alias("__q"), value)
-    on = [placed[k].eqNullSafe(p[k]) for k in keys] + [(placed["__p"] == p["__q"]) & ~placed[mask]]
-    return placed.join(p, on, "left").select(*[placed[k] for k in keys], placed[order], F.coalesce(value, F.lit(0.0)).alias(value))
+    joined = on_keys(placed, p, keys, "left", (F.col("__p") == F.col("__q")) & ~F.col(mask))
+    return joined.select(*keys, order, F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 # Interpolation
