@@ -9,14 +9,15 @@ Buckets don't emit all their pairs. Documents with equal shingle sets are one cl
 class is compared with the smallest one; verified links give components; only in buckets that still hold two or
 more components can a link be missing. The classes of those are compared by an exact prefix join: shingles are
 ordered by how often they occur among these classes, and two sets with the required similarity must share one of
-the rarest (1 - 0.75) n + 1 shingles. Every link is confirmed on the full sets.
+the rarest (1 - 0.75) n + 1 shingles. Large groups of that join are families of copies; their pairs are compared
+in blocks, of which only spanning links come out. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_names, pieces, saved
@@ -28,8 +29,18 @@ SYMBOLS, CHUNK = 60, 5
 GUARANTEED = 2 * (SYMBOLS // CHUNK) - 1
 #: Pairs further apart than this are not verified: at similarity 0.75 the odds of that are 1e-9.
 FARTHEST = 36
-#: Counters of the frequency sketch that orders shingles; any order is exact, a good one is fast.
-SKETCH = 1 << 20
+#: Documents of a group up to which its pairs are looked at one by one, and documents of a block in larger groups.
+SMALL, BLOCK_DOCS = 32, 256
+
+
+def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each set, which don't depend on order."""
+    out = np.zeros((2, len(bounds) - 1), np.uint64)
+    rows = np.flatnonzero(np.diff(bounds))
+    if len(rows):
+        for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            out[i, rows] = np.add.reduceat(mix(values ^ np.uint64(salt)), bounds[rows])
+    return out
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -39,12 +50,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         hasher = WordHasher()
         for part, texts in pieces(batches):
             values, bounds = shingle_sets(texts, hasher)
-            sizes = np.diff(bounds)
-            sums = np.zeros((2, len(sizes)), np.uint64)
-            rows = np.flatnonzero(sizes)
-            if len(rows):
-                for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                    sums[i, rows] = np.add.reduceat(mix(values ^ np.uint64(salt)), bounds[rows])
+            sizes, sums = np.diff(bounds), fingerprints(values, bounds)
             sig = signatures(values, bounds, SYMBOLS)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())],
@@ -116,62 +122,94 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles): the sorted shingle hashes of the named documents."""
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the sorted shingle hashes of wanted classes (doc_id, real, f1, f2), from rows of the doc_id `real`."""
 
     def run(batches):
         hasher = WordHasher()
         for part, texts in pieces(batches):
             values, bounds = shingle_sets(texts, hasher)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([values[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary())], ["doc_id", "shingles"]
-            )
-
-    return column_names(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
+            f = fingerprints(values, bounds).view(np.int64)
+            keep = (f[0] == np.asarray(part.column("f1"))) & (f[1] == np.asarray(part.column("f2")))
+            sets = pa.array([values[i:j].tobytes() if k else None for i, j, k in zip(bounds[:-1], bounds[1:], keep)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["doc_id", "shingles"]).filter(pa.array(keep))
 
+    named = wanted.select(F.col("doc_id").alias("node"), F.col("real").alias("doc_id"), "f1", "f2")
+    return column_names(docs, "doc_id", "text").join(named, "doc_id").select("node", "text", "f1", "f2").mapInArrow(run, "doc_id long, shingles binary")
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
 
+def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, component): the rarest shingles of each set that an equal enough set must share one of.
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles: no link is left out."""
-    spark = sets.sparkSession
+    Shingles are ordered by the number of these sets that have them. A shingle of one set only is shared with none, so
+    that it just takes up places; frequencies and places are exact.
+    """
 
-    def count(batches):
-        held = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for s in batch.column("shingles"):
-                np.add.at(held, _slots(np.frombuffer(s.as_buffer(), np.uint64)), 1)
-        slots = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(held[slots])], ["slot", "n"])
-
-    # SKETCH counters at most come to the driver, whatever the input.
-    got = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
-    often = np.ones(SKETCH, np.uint32)
-    often[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**32 - 1)
-    del got
-    sent = spark.sparkContext.broadcast(often)
-
-    def prefix(batches):
-        often = sent.value
+    def spread(batches):
         for batch in batches:
-            ids, keys = [], []
-            for doc, s in zip(batch.column("doc_id").to_pylist(), batch.column("shingles")):
-                values = np.frombuffer(s.as_buffer(), np.uint64)
-                n = often[_slots(values)]
-                own = np.lexsort((values, n))[: len(values) - (percent * len(values) + 99) // 100 + 1]
-                own = values[own[n[own] > 1]]  # a shingle with a count of one is in no other set
-                keys.append(own.view(np.int64))
-                ids.append(np.full(len(own), doc, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["doc_id", "key"])
-
-    keyed = saved(sets.mapInArrow(prefix, "doc_id long, key long").join(labels, "doc_id"), "prefixes")
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    live = keyed.join(mixed, "key")
-    one, two = (live.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return one.join(two, "key").filter("a > b and ca <> cb").select("a", "b").distinct()
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column("shingles")]
+                sizes = np.array([len(h) for h in held], np.int32)
+                ids = np.repeat(np.asarray(part.column("doc_id")), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids), pa.array(np.repeat(sizes, sizes))], ["key", "doc_id", "n"])
+
+    rows = saved(sets.mapInArrow(spread, "key long, doc_id long, n int"), "shingles")
+    often = rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    both = rows.join(often, "key")
+    own = Window.partitionBy("doc_id")  # a document's shingles
+    ranked = both.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "key")))
+    prefix = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return saved(prefix.select("key", "doc_id").join(labels, "doc_id"), "prefixes")
+
+
+def _blocks(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of large groups (key, doc_id), enough of them to join up each component.
+
+    Groups with a document in common are one cluster. A cluster is dealt into blocks; a task compares two blocks by a
+    matrix product of their incidence of shared shingles and returns links that span what is linked there: it never
+    holds more than two blocks, and the pairs themselves are not written anywhere.
+    """
+    least = hot.groupBy("key").agg(F.min("doc_id").alias("b"))
+    edges = hot.join(least, "key").select(F.col("doc_id").alias("a"), "b")
+    members = saved(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).join(sets, "doc_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    twice = dealt.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("first"), "doc_id", "shingles")
+
+    def run(table):
+        ids = table.column("doc_id").to_numpy()
+        held = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        sizes = np.array([len(s) for s in held], np.int64)
+        values, back, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        shared = np.cumsum(counts > 1) - 1
+        rows, cols = np.repeat(np.arange(len(held)), sizes), back
+        keep = counts[cols] > 1
+        common = np.zeros((len(held), len(held)), np.int64)
+        for at in range(0, int((counts > 1).sum()), 4096):  # some columns at a time
+            part = keep & (shared[cols] >= at) & (shared[cols] < at + 4096)
+            m = np.zeros((len(held), 4096), np.float32)
+            m[rows[part], shared[cols[part]] - at] = 1
+            common += (m @ m.T).astype(np.int64)
+        x, y = np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None, :] - common), 1))
+        up = list(range(len(held)))
+
+        def top(v):
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        out = []
+        for v, w in zip(x.tolist(), y.tolist()):
+            p, q = top(v), top(w)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((v, w))
+        return pa.table({"a": pa.array([ids[v] for v, _ in out], pa.int64()), "b": pa.array([ids[w] for _, w in out], pa.int64())})
+
+    return twice.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -187,12 +225,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     real = sigs.filter("n_shingles > 0 and doc_id is not null")
     # Equal sets are one class; its smallest document stands for it.
     classes = real.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.count("*").alias("n"))
-    heads = saved(classes.select("f1", "f2", "n_shingles", F.col("m.doc_id").alias("doc_id"), F.col("m.sig").alias("sig")), "classes")
+    # A doc_id that stands for several classes, because it is in several rows, gets other numbers for all but one.
+    first = F.row_number().over(Window.partitionBy("m.doc_id").orderBy("f1", "f2", "n_shingles")) == 1
+    node = F.when(first, F.col("m.doc_id")).otherwise(F.xxhash64("m.doc_id", "f1", "f2", "n_shingles"))
+    heads = saved(classes.select("f1", "f2", "n_shingles", node.alias("doc_id"), F.col("m.doc_id").alias("real"), F.col("m.sig").alias("sig")), "classes")
     hubs = bucket_keys(heads).groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     shared = saved(bucket_keys(heads).join(hubs.select("key", "hub"), "key").select("key", "doc_id", "hub"), "buckets")
 
     stars = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    sets = saved(_full_sets(docs, shared.select("doc_id").distinct()), "sets")
+    wanted = heads.select("doc_id", "real", "f1", "f2").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = saved(_full_sets(docs, wanted), "sets")
     links = saved(_confirmed(_near(stars, heads), sets, percent), "links")
     first = saved(components(links), "components")
 
@@ -201,15 +243,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     member = saved(member, "members")
     open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     rest = saved(member.join(open_keys, "key").select("doc_id", "component").distinct(), "open")
-    more = _prefix_pairs(sets.join(rest.select("doc_id"), "doc_id", "left_semi"), rest, percent)
-    more = saved(_confirmed(_near(more, heads), sets, percent), "links")
-
-    # One doc_id may stand in several rows and so in several classes: those are one document.
+    keyed = _prefixes(sets.join(rest.select("doc_id"), "doc_id", "left_semi"), rest, percent)
+    groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+    live = saved(keyed.join(groups, "key"), "groups")
+    one, two = (live.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    pairs = one.join(two, "key").filter("a > b and ca <> cb").select("a", "b").distinct()
+    more = saved(_confirmed(_near(pairs, heads), sets, percent), "links")
+    spans = saved(_blocks(live.filter(F.col("n") > SMALL).select("key", "doc_id"), sets, percent), "links")
+
+    # Other rows of a class are linked with its number; so are all rows of one doc_id with each other.
     same = real.select("doc_id", "f1", "f2", "n_shingles").join(heads.select("f1", "f2", "n_shingles", F.col("doc_id").alias("head")), ["f1", "f2", "n_shingles"])
     copies = same.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    groups = components(links.union(more).union(copies))
-    return sigs.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    found = components(links.union(more).union(spans).union(copies))
+    rows = sigs.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    smallest = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(smallest, "component", "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
