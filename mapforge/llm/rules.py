@@ -104,7 +104,8 @@ def js_distance(counts: Column, others: Column) -> Column:
         return F.when(p > 0, p * F.log2(p * 2.0 / (p + q))).otherwise(0.0)
 
     terms = F.zip_with(shares(counts), shares(others), lambda p, q: part(p, q) + part(q, p))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2.0, F.lit(0.0)))
+    # greatest() passes over nulls, which must stay.
+    return F.when(terms.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2.0, F.lit(0.0))))
 
 
 def quality_rules(docs: DataFrame, most_chars: float = MOST_CHARS, most_words: float = MOST_WORDS, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
