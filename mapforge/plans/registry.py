@@ -11,6 +11,7 @@ from .. import solvers
 from ..functions import angles, geometry, numeric, rounding, strings, units, wcs
 from ..operators import aggregates, deglitch, masks, order, pointing, projection, timeline
 from ..operators.algebra import Difference, Identity, Mask, Projection
+from ..sources import instrument
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,6 +637,40 @@ def map_header(spark, d):
     return spark.createDataFrame([(w.naxis[0], w.naxis[1], round(w.crval[0], 6), round(w.crval[1], 6), w.crpix[0], w.crpix[1])], "nx int, ny int, ra double, dec double, x double, y double")
 
 
+# Instrument
+
+
+@query(f"""WITH p AS ({T.POINTING}), v AS (SELECT slice, info, 3600 * sqrt(power((lead(ra) OVER w - ra) * cos(radians(dec)), 2) + power(lead(dec) OVER w - dec, 2)) / (lead(time) OVER w - time) AS v FROM p WINDOW w AS (PARTITION BY slice ORDER BY t))
+    SELECT slice, round(quantile_disc(v, 0.5), 1) AS speed FROM v WHERE info = 1 GROUP BY slice""")
+def scan_speed(spark, d):
+    return instrument.scan_speed(T.pointing(spark, d))
+
+
+@query(f"WITH p AS ({T.POINTING}) SELECT slice, count(*) AS nsamples, count(*) * 4 * 8 AS nfine FROM p GROUP BY slice")
+def fine_samples(spark, d):
+    n = T.pointing(spark, d).groupBy("slice").agg(F.count("*").alias("nsamples")).withColumn("compression_factor", F.lit(4))
+    return instrument.fine_samples(n, 8).select("slice", "nsamples", "nfine")
+
+
+@query(f"WITH p AS ({T.POSITIONS}) SELECT id, CASE WHEN ra BETWEEN 30.1 AND 30.6 THEN round(ra, 6) END AS ra, CASE WHEN dec BETWEEN 19.8 AND 20.3 THEN round(dec, 6) END AS dec FROM p")
+def coordinate_boundary(spark, d):
+    p = instrument.inside_box(T.positions(spark, d), {"ra": (30.1, 30.6), "dec": (19.8, 20.3)})
+    return p.select("id", *[r(F.nanvl(c, F.lit(None)), 6).alias(c) for c in ("ra", "dec")])
+
+
+@query("""WITH c AS (SELECT p_brand AS det, p_size::DOUBLE AS length, avg(p_retailprice) AS s FROM part GROUP BY 1, 2), w AS (SELECT *, lead(length) OVER v AS nl, lead(s) OVER v AS ns, row_number() OVER v AS k FROM c WINDOW v AS (PARTITION BY det ORDER BY length))
+    SELECT det, round(CASE WHEN nl IS NULL OR length > 20.5 THEN s ELSE exp(ln(s) + (ln(ns) - ln(s)) * (ln(20.5) - ln(length)) / (ln(nl) - ln(length))) END, 5) AS stddev FROM w WHERE (length <= 20.5 OR k = 1) AND (nl > 20.5 OR nl IS NULL)""")
+def detector_stddev(spark, d):
+    c = T.read(spark, d, "part").groupBy(F.col("p_brand").alias("det"), F.col("p_size").cast("double").alias("length")).agg(F.avg("p_retailprice").alias("stddev"))
+    return instrument.detector_stddev(c, 20.5).select("det", r("stddev", 5).alias("stddev"))
+
+
+@query("""WITH c AS (SELECT avg(p_retailprice) AS m FROM part WHERE p_partkey IN (1, 2, 3, 4)) SELECT p_partkey AS det, round(p_retailprice / m, 8) AS optical, round(p_size / (p_retailprice / m), 6) AS detector FROM part, c""")
+def flat_fields(spark, d):
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("det"), F.col("p_retailprice").alias("area"), F.col("p_size").cast("double").alias("flat_total"))
+    return instrument.flats(p, (1, 2, 3, 4)).select("det", r("flat_optical", 8).alias("optical"), r("flat_detector", 6).alias("detector"))
+
+
 # Operators and solvers
 
 

@@ -130,6 +130,32 @@ class NormOf(Objective):
         return self.operator.adjoint(g)
 
 
+class Ellipsoid(Objective):
+    """x^T A x for a symmetric operator; the identity makes it the squared norm."""
+
+    def __init__(self, a: LinearOp, scale: float = 1.0, index: list[str] = INDEX):
+        self.a, self.scale, self.index = a, scale, index
+
+    def value(self, x: DataFrame) -> float:
+        return self.scale * dots([(x, x if isinstance(self.a, Identity) else self.a(x))], self.index)[0]
+
+    def gradient(self, x: DataFrame) -> DataFrame:
+        return self.a(x).withColumn("value", 2 * self.scale * F.col("value"))
+
+
+def numeric_gradient(f: Objective, x: DataFrame, index: list[str] = INDEX, step: float = 1e-6) -> list[tuple]:
+    """(index, slope) by central differences, one place after the other: for tests of small vectors."""
+    out = []
+    for r in x.collect():
+        at = None
+        for c in index:
+            at = F.col(c) == r[c] if at is None else at & (F.col(c) == r[c])
+        h = step * max(1.0, abs(r["value"]))
+        moved = lambda d, at=at: x.withColumn("value", F.col("value") + F.when(at, d).otherwise(0.0))
+        out.append((*[r[c] for c in index], (f.value(moved(h)) - f.value(moved(-h))) / (2 * h)))
+    return out
+
+
 def quadratic_step(f: Objective, x: DataFrame, d: DataFrame, index: list[str] = INDEX) -> float:
     """The exact step for a quadratic objective: the slope at two places gives its curvature."""
     s0 = dots([(f.gradient(x), d)], index)[0]

@@ -149,6 +149,18 @@ def read_signal(spark: SparkSession, file: str, use_masks: str | list[str], firs
     return spark.read.format("binaryFile").load(file).select("content").mapInArrow(run, "det int, t long, value double, masked boolean")
 
 
+def save(tod: DataFrame, status: DataFrame, path: str, rows: int, columns: int, unit: str = "Jy / detector", header: Mapping[str, object] = {}) -> None:
+    """Writes one slice's signal and mask (det, t, value, masked) and its status as a frames file; a file fits the driver."""
+    got = tod.select("det", "t", "value", "masked").toPandas()
+    n = int(got["t"].max()) + 1
+    signal, mask = np.full((rows * columns, n), np.nan), np.ones((rows * columns, n), bool)
+    at = got["det"].to_numpy(), got["t"].to_numpy()
+    signal[at], mask[at] = got["value"].to_numpy(float), got["masked"].to_numpy(bool)
+    s = status.orderBy("t").drop("slice", "t", "interval").toPandas()
+    data = frames_bytes(signal.reshape(rows, columns, n), {c: s[c].to_numpy() for c in s.columns}, {"MASTER": mask.reshape(rows, columns, n)}, header, unit)
+    fits.write_bytes(tod.sparkSession, path, data)
+
+
 def simulate(spark: SparkSession, points: DataFrame, band: str, mode: str, policy: masks.Policy = masks.Policy(), period: float = PERIOD) -> tuple[DataFrame, int]:
     """(pointing under a policy, compression factor) of a simulated observation; the factor comes from the median time step.
 

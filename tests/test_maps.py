@@ -148,3 +148,12 @@ def test_packing_pixels(spark, small):
     m, _ = small
     packed, table = projection.pack_pixels(m, projection.unobserved(m.filter("pixel in (1, 4, 6)"), 8))
     assert sorted(map(tuple, table.collect())) == [(1, 0), (4, 1), (6, 2)] and packed.count() == m.filter("pixel in (1, 4, 6)").count()
+
+
+def test_ellipsoid_gradient(spark):
+    d = algebra.DifferenceNormal([], "pixel")
+    x = vec(spark, [1.0, 3.0, 2.0])
+    for f in (solvers.Ellipsoid(d, 0.5), solvers.Ellipsoid(algebra.Identity())):
+        want = sorted(solvers.numeric_gradient(f, x))
+        got = sorted((r.pixel, r.value) for r in f.gradient(x).collect())
+        assert all(abs(a[1] - b[1]) < 1e-5 for a, b in zip(want, got))

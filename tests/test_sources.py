@@ -133,3 +133,34 @@ def test_streams(spark, tmp_path):
         q.stop()
     batch = spark.range(20).select(F.lit(0).alias("det"), F.timestamp_seconds(F.col("id") / 2).alias("at"), F.col("id").cast("double").alias("value"), F.lit(False).alias("masked"))
     assert sorted(r.value for r in streaming.compressed(batch, "at", 2.0).collect()) == [1.5, 5.5, 9.5, 13.5, 17.5]
+
+
+def test_save_and_reload(spark, tmp_path):
+    from mapforge.sources import instrument
+
+    p = pointing.scan(spark, (10.0, 20.0), 0.1, 0.01, 0.05, 0.1, 2)
+    n = p.count()
+    tod = spark.range(4).crossJoin(spark.range(n).withColumnRenamed("id", "t")).select(F.col("id").cast("int").alias("det"), "t", (F.col("id") * 100 + F.col("t")).cast("double").alias("value"), (F.col("t") == 3).alias("masked"))
+    path = str(tmp_path / "saved.fits")
+    observation.save(tod, instrument.status_of(p), path, 2, 2)
+    obs = observation.open_frames(spark, [path], masks.Policy(other="keep"))
+    got = {(r.det, r.t): (r.value, r.masked) for r in obs.tod.collect()}
+    assert got == {(r.det, r.t): (r.value, r.masked) for r in tod.collect()}
+    same([r.ra for r in obs.pointing.orderBy("t").collect()], [r.ra for r in p.orderBy("t").collect()])
+
+
+def test_instrument_keywords(spark):
+    from mapforge.sources import instrument
+
+    assert instrument.band({"CAMNAME": "Blue Photometer", "BLUE": "blue2"}) == "green" and instrument.band({"CAMNAME": "Red"}) == "red"
+    assert instrument.compression_factor("Floating Average  : 4 values") == 4 and instrument.compression_factor("None") == 1
+    for f, bad in ((instrument.band, {"CAMNAME": "x"}), (instrument.compression_factor, "zip"), (instrument.check_fine_sampling, 3)):
+        with pytest.raises(ValueError):
+            f(bad)
+    a = spark.createDataFrame([(1, 2)], "x int, y int")
+    b = spark.createDataFrame([(1.5, 3)], "x double, y bigint")
+    assert instrument.widened([a, b]).dtypes == [("x", "double"), ("y", "bigint")]
+    with pytest.raises(ValueError):
+        instrument.widened([a, b.drop("y")])
+    s = spark.createDataFrame([(0, "BS"), (1, "R "), (2, "BL")], "t long, band string")
+    assert [r.invalid for r in instrument.invalid_band(s, "green").orderBy("t").collect()] == [True, True, False]
