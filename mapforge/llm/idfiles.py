@@ -101,14 +101,18 @@ class IdFile:
 
     def run(self, start: int, stop: int) -> np.ndarray:
         """Consecutive ids: one rank lookup for each level, then the bitmap in order."""
-        out, left, at = np.zeros(stop - start, np.uint32), np.arange(stop - start), int(start)
-        for k, level in enumerate(self.levels):
-            if not len(left):
+        at, n, place = int(start), int(stop - start), None
+        if not n:
+            return np.zeros(0, np.uint32)
+        out = self.levels[0].chunks[at : at + n].astype(np.uint32)
+        for k, (level, above) in enumerate(zip(self.levels, self.levels[1:]), 1):
+            bits = np.unpackbits(level.words.view(np.uint8)[at >> 3 : (at + n + 7) >> 3], bitorder="little")[at & 7 :][:n]
+            on = np.flatnonzero(bits.view(bool))
+            if not len(on):
                 break
-            out[left] |= level.chunks[at : at + len(left)].astype(np.uint32) << np.uint32(CHUNK_BITS * k)
-            bits = np.unpackbits(level.words.view(np.uint8)[at >> 3 : (at + len(left) + 7) >> 3], bitorder="little")[at & 7 :][: len(left)]
-            left = left[bits > 0]
-            at = int(level.rank(np.array([at]))[0]) if len(left) else 0
+            place = on if place is None else place[on]
+            at, n = int(level.rank(np.array([at]))[0]), len(on)
+            out[place] |= above.chunks[at : at + n].astype(np.uint32) << np.uint32(CHUNK_BITS * k)
         return out
 
     def to_bytes(self) -> bytes:

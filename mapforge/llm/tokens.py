@@ -50,8 +50,11 @@ _PATTERNS = {
     "words": "{0}|[{1}]+|[0-9]|[^{2}{1}0-9]+",
 }
 _PRETOKENS = {k: re.compile(v.format(_CONTRACTIONS, _LETTERS, _BLANK)) for k, v in _PATTERNS.items()}
-#: The same for many texts at once, which NUL parts: it counts as white space, so that nothing reaches across it.
-_PARTED = {k: re.compile("\x00|" + v.format(_CONTRACTIONS, _LETTERS, _BLANK + r"\x00").replace(f"[{_BLANK}\\x00]+", f"[{_BLANK}]+")) for k, v in _PATTERNS.items()}
+#: The same for many texts at once, which NUL parts: nothing reaches across it, and it is white space to what comes before.
+_PARTED = {
+    "bytes": re.compile("\x00|" + _PATTERNS["bytes"].replace("(?![^{2}])", "(?![^{2}\x00])").replace("?[^{2}{1}", "?[^{2}\x00{1}").format(_CONTRACTIONS, _LETTERS, _BLANK)),
+    "words": re.compile("\x00|" + _PATTERNS["words"].replace("[^{2}{1}", "[^{2}\x00{1}").format(_CONTRACTIONS, _LETTERS, _BLANK)),
+}
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -263,7 +266,9 @@ class Codec:
         """All ids of the texts as uint32, one text after the other, and each text's number of ids."""
         if len(self.known) > self.cache:
             self.forget()
-        split = [_CUTS.findall(t.encode("utf-8", "surrogatepass")) for t in texts]
+        raw = (t.encode("utf-8", "surrogatepass") for t in texts)
+        # Vocabularies of words drop white space, so that their cuts need none.
+        split = [t.split() for t in raw] if self.kind == "words" else list(map(_CUTS.findall, raw))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         cuts = [c for s in split for c in s]
         at = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
