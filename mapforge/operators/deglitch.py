@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import mad, sigma_clip
 from .projection import SAMPLE, mini_maps
+from .storage import saved
 
 #: Frames that must see a pixel, and values that must be there, for it to be judged.
 LEAST_HITS = 5
@@ -18,7 +19,7 @@ def glitches(matrix: DataFrame, tod: DataFrame, nsigma: float, method: str = "ma
     mad: further than nsigma * 1.4826 * MAD from the lower median; std: clipped at nsigma deviations until nothing changes.
     Hits count frames with masked samples as well; values are those of frames with unmasked ones.
     """
-    maps = mini_maps(matrix, tod, frame, sample, value, mask)
+    maps = saved(mini_maps(matrix, tod, frame, sample, value, mask), "mini-maps")  # several passes read them
     hits = maps.groupBy("pixel").agg(F.count("*").alias("hits"), F.count_if(~F.isnan("value")).alias("values")).filter((F.col("hits") >= LEAST_HITS) & (F.col("values") >= LEAST_HITS))
     judged = maps.filter(~F.isnan("value")).join(hits.select("pixel"), "pixel").select(*frame, "pixel", "value")
     if method == "mad":
