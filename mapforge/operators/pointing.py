@@ -101,8 +101,10 @@ def nearest_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: li
     """
     both = pointing.crossJoin(F.broadcast(detectors.select("det", "u", "v", "area")))
     ra, dec = to_sky(F.col("u"), F.col("v"), F.col("ra"), F.col("dec"), F.col("pa"))
-    x, y = sky_to_pixel(wcs, ra, dec)
-    at = both.select(*keys, "det", "area", x.alias("x"), y.alias("y")).withColumn("pixel", pixel_index(wcs, F.col("x"), F.col("y")))
+    # As a generator's output the coordinates are computed once: a filter on the pixel is not pushed below it, which
+    # would put both of the long expressions into the filter again.
+    at = both.select(*keys, "det", "area", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip("xy", sky_to_pixel(wcs, ra, dec))]))))
+    at = at.withColumn("pixel", pixel_index(wcs, F.col("x"), F.col("y")))
     weight = F.col("area") * projection_scale(wcs, F.col("x"), F.col("y"))
     return at.filter("pixel >= 0").select(*keys, "det", F.lit(0).alias("k"), "pixel", weight.cast("float").alias("weight"))
 
