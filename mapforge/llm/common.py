@@ -57,6 +57,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, name: str) -> DataFrame:
+    """A small side of a join by a key that may be hot, as a table of its own.
+
+    Right below a join, a grouped side would keep the optimiser from splitting the other side's largest partitions: its rows
+    of one key would all go to one task.
+    """
+    return saved(df, name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder that is no longer read."""
     jvm = spark.sparkContext._jvm

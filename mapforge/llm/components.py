@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import path_of, remove, saved
+from .common import apart, path_of, remove, saved
 
 #: Edges up to which one task finishes.
 FINISH = 1_000_000
@@ -48,7 +48,7 @@ def _joined_up(e: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     """For each node, its larger neighbours point to the smallest of itself and its neighbours."""
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = apart(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

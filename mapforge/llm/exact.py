@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, column_names, new_path, partitions, saved
+from .common import SPACE, apart, column_names, new_path, partitions, saved
 
 #: Bytes of normalised text that a bucket page is meant to hold.
 PAGE_BYTES = 32_000_000
@@ -155,6 +155,7 @@ def exact_duplicates(docs: DataFrame, page: int = PAGE_BYTES, bits: int | None =
     order = F.struct(F.col("points").alias("p"), F.col("doc_id").isNotNull().alias("q"), (-F.col("doc_id")).alias("d"), F.col("row").alias("r"))
     groups = rows.groupBy("key", "link").agg(F.max(order).alias("best"), F.count("*").alias("group_size"))
     many = groups.filter("group_size > 1").select("key", "link", (-F.col("best.d")).alias("keep"), F.col("best.r").alias("stays"), "group_size")
+    many = apart(many, "groups")
     joined = rows.join(many, ["key", "link"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_names, pieces, saved
+from .common import apart, column_names, pieces, saved
 from .components import components
 from .shingles import WordHasher, mix, shingle_sets, signatures
 
@@ -155,7 +155,7 @@ def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids), pa.array(np.repeat(sizes, sizes))], ["key", "doc_id", "n"])
 
     rows = saved(sets.mapInArrow(spread, "key long, doc_id long, n int"), "shingles")
-    often = rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
+    often = apart(rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     both = rows.join(often, "key")
     own = Window.partitionBy("doc_id")  # a document's shingles
     ranked = both.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "key")))
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     node = F.when(first, F.col("m.doc_id")).otherwise(F.xxhash64("m.doc_id", "f1", "f2", "n_shingles"))
     heads = saved(classes.select("f1", "f2", "n_shingles", node.alias("doc_id"), F.col("m.doc_id").alias("real"), F.col("m.sig").alias("sig")), "classes")
     hubs = bucket_keys(heads).groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    shared = saved(bucket_keys(heads).join(hubs.select("key", "hub"), "key").select("key", "doc_id", "hub"), "buckets")
+    hubs = apart(hubs.select("key", "hub"), "hubs")
+    shared = saved(bucket_keys(heads).join(hubs, "key").select("key", "doc_id", "hub"), "buckets")
 
     stars = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = heads.select("doc_id", "real", "f1", "f2").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -245,6 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = saved(member.join(open_keys, "key").select("doc_id", "component").distinct(), "open")
     keyed = _prefixes(sets.join(rest.select("doc_id"), "doc_id", "left_semi"), rest, percent)
     groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+    groups = apart(groups, "mixed")
     live = saved(keyed.join(groups, "key"), "groups")
     one, two = (live.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("a > b and ca <> cb").select("a", "b").distinct()
