@@ -70,16 +70,53 @@ def clipped_area(x: np.ndarray, y: np.ndarray, x0: float, y0: float) -> float:
     return area(a[:, 0], a[:, 1])
 
 
+def _clipped(px: np.ndarray, py: np.ndarray, limit: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Polygons (rows of corners) cut at x = limit; what lies on the side of the sign `keep` stays. Unused corners repeat the last one."""
+    n, v = px.shape
+    qx, qy = np.roll(px, -1, axis=1), np.roll(py, -1, axis=1)
+    dp, dq = keep * (px - limit), keep * (qx - limit)
+    cross = dp * dq < 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(cross, dp / (dp - dq), 0.0)
+    x, y, live = np.empty((n, 2 * v)), np.empty((n, 2 * v)), np.empty((n, 2 * v), bool)
+    x[:, 0::2], y[:, 0::2], live[:, 0::2] = px, py, dp >= 0
+    x[:, 1::2], y[:, 1::2], live[:, 1::2] = px + t * (qx - px), py + t * (qy - py), cross
+    order = np.argsort(~live, axis=1, kind="stable")[:, : v + 1]
+    count = live.sum(axis=1)
+    last = np.minimum(np.arange(v + 1)[None, :], np.maximum(count - 1, 0)[:, None])
+    at = np.take_along_axis(order, last, axis=1)
+    x, y = np.take_along_axis(x, at, axis=1), np.take_along_axis(y, at, axis=1)
+    none = count == 0
+    x[none], y[none] = limit, 0.0
+    return x, y
+
+
+def overlaps_many(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For convex polygons with one number of corners (rows of x and y, in 1-based pixel coordinates): the polygon, pixel and area of
+    every overlap, in row order of pixels, and for each polygon whether part of it lies outside the map."""
+    left, right = np.floor(x.min(axis=1) + 0.5).astype(np.int64), np.ceil(x.max(axis=1) - 0.5).astype(np.int64)
+    low, high = np.floor(y.min(axis=1) + 0.5).astype(np.int64), np.ceil(y.max(axis=1) - 0.5).astype(np.int64)
+    cut = (left < 1) | (low < 1) | (right > nx) | (high > ny)
+    left, low, right, high = np.maximum(left, 1), np.maximum(low, 1), np.minimum(right, nx), np.minimum(high, ny)
+    wide, tall = np.maximum(right - left + 1, 0), np.maximum(high - low + 1, 0)
+    n = wide * tall
+    who = np.repeat(np.arange(len(x)), n)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i, j = left[who] + step % np.maximum(wide[who], 1), low[who] + step // np.maximum(wide[who], 1)
+    areas = np.empty(len(who))
+    for at in range(0, len(who), 100_000):
+        part = slice(at, at + 100_000)
+        px, py = x[who[part]] - (i[part, None] - 0.5), y[who[part]] - (j[part, None] - 0.5)
+        for limit, keep in ((0.0, 1), (1.0, -1)):
+            px, py = _clipped(px, py, limit, keep)
+        for limit, keep in ((0.0, 1), (1.0, -1)):
+            py, px = _clipped(py, px, limit, keep)
+        areas[part] = np.abs((px * np.roll(py, -1, axis=1) - np.roll(px, -1, axis=1) * py).sum(axis=1)) / 2
+    on = areas > 0
+    return who[on], (i - 1 + (j - 1) * nx)[on], areas[on], cut
+
+
 def overlaps(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> tuple[list[tuple[int, float]], bool]:
-    """(pixel, area) of the map's pixels that a polygon in 1-based pixel coordinates covers, in row order; whether part lies outside."""
-    left, right = int(np.floor(x.min() + 0.5)), int(np.ceil(x.max() - 0.5))
-    low, high = int(np.floor(y.min() + 0.5)), int(np.ceil(y.max() - 0.5))
-    cut = left < 1 or low < 1 or right > nx or high > ny
-    sign = 1.0 if area(x, y) >= 0 else -1.0
-    out = []
-    for j in range(max(low, 1), min(high, ny) + 1):
-        for i in range(max(left, 1), min(right, nx) + 1):
-            a = sign * clipped_area(x, y, i - 0.5, j - 0.5)
-            if a > 0:
-                out.append((i - 1 + (j - 1) * nx, a))
-    return out, cut
+    """(pixel, area) of the map's pixels that one convex polygon covers, in row order; whether part lies outside."""
+    _, pixels, areas, cut = overlaps_many(np.asarray(x, float)[None, :], np.asarray(y, float)[None, :], nx, ny)
+    return list(zip(pixels.tolist(), areas.tolist())), bool(cut[0])

@@ -124,15 +124,23 @@ def overlap_matrix(polygons: DataFrame, keys: list[str], naxis: tuple[int, int])
 
     def run(batches):
         for b in batches:
-            take, ks, pixels, weights, out = [], [], [], [], []
-            for i, (xs, ys) in enumerate(zip(b.column("xs").to_pylist(), b.column("ys").to_pylist())):
-                if not all(math.isfinite(v) for v in (*xs, *ys)):
-                    continue
-                found, cut = geometry.overlaps(np.array(xs), np.array(ys), nx, ny)
-                for k, (pixel, weight) in enumerate(found):
-                    take.append(i), ks.append(k), pixels.append(pixel), weights.append(weight), out.append(cut)
-            rows = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in keys), pa.array(ks, pa.int32()), pa.array(pixels, pa.int32()), pa.array(weights, pa.float32()), pa.array(out, pa.bool_())], [*keys, "k", "pixel", "weight", "outside"])
+            for at in range(0, b.num_rows, 20_000):
+                part = b.slice(at, 20_000)
+                lists = part.column("xs"), part.column("ys")
+                sizes = np.diff(np.asarray(lists[0].offsets))
+                for corners in np.unique(sizes[sizes > 2]):
+                    rows = np.flatnonzero(sizes == corners)
+                    x, y = (np.stack([np.asarray(c[i].values, float) for i in rows]) if len(np.unique(sizes)) > 1 else np.asarray(c.flatten(), float).reshape(-1, corners) for c in lists)
+                    fine = np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+                    rows, x, y = rows[fine], x[fine], y[fine]
+                    if not len(rows):
+                        continue
+                    who, pixels, areas, cut = geometry.overlaps_many(x, y, nx, ny)
+                    first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+                    k = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+                    take = pa.array(rows[who])
+                    cols = [pa.array(k.astype(np.int32)), pa.array(pixels.astype(np.int32)), pa.array(areas.astype(np.float32)), pa.array(cut[who])]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keys), *cols], [*keys, "k", "pixel", "weight", "outside"])
 
     return polygons.select(*keys, "xs", "ys").mapInArrow(run, f"{kinds}, k int, pixel int, weight float, outside boolean")
 

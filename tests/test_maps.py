@@ -157,3 +157,14 @@ def test_ellipsoid_gradient(spark):
         want = sorted(solvers.numeric_gradient(f, x))
         got = sorted((r.pixel, r.value) for r in f.gradient(x).collect())
         assert all(abs(a[1] - b[1]) < 1e-5 for a, b in zip(want, got))
+
+
+def test_overlaps_are_those_of_one_pixel_after_the_other():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, r, (cx, cy) = rng.uniform(0, 6.3), rng.uniform(0.2, 2), rng.uniform(-1, 12, 2)
+        c = [(cx + r * math.cos(a + k * math.pi / 2), cy + r * math.sin(a + k * math.pi / 2)) for k in range(4)]
+        x, y = np.array([p[0] for p in c]), np.array([p[1] for p in c])
+        got = dict(geometry.overlaps(x, y, 10, 10)[0])
+        for p in range(100):
+            assert abs(got.get(p, 0) - abs(geometry.clipped_area(x, y, p % 10 + 0.5, p // 10 + 0.5))) < 1e-12
