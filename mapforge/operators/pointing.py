@@ -94,16 +94,23 @@ def detector_grid(spark, rows: int, columns: int, size: float, fill: float = 1.0
     return grid.select("det", "row", "column", u.alias("u"), v.alias("v"), F.array(*[c[0] for c in corners]).alias("us"), F.array(*[c[1] for c in corners]).alias("vs"))
 
 
-def nearest_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: list[str] = ["slice", "t"]) -> DataFrame:
-    """(keys, det, k, pixel, weight): the pixel under each detector's centre, weighted with its area times the projection's scale.
+def _with_detectors(pointing: DataFrame, detectors: DataFrame, *columns: str) -> DataFrame:
+    """Every pointing with every detector, a small fixed table of one camera that is broadcast.
 
-    Every pointing meets every detector: detectors are a small fixed table of one camera, which is broadcast.
+    Pointings are dealt evenly first: a slice's rows may lie in one partition, and there are many detectors for each.
     """
-    both = pointing.crossJoin(F.broadcast(detectors.select("det", "u", "v", "area")))
+    dealt = pointing.repartition(int(pointing.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.crossJoin(F.broadcast(detectors.select(*columns)))
+
+
+def nearest_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: list[str] = ["slice", "t"]) -> DataFrame:
+    """(keys, det, k, pixel, weight): the pixel under each detector's centre, weighted with its area times the projection's scale."""
+    both = _with_detectors(pointing.select(*keys, "ra", "dec", "pa"), detectors, "det", "u", "v", "area")
     ra, dec = to_sky(F.col("u"), F.col("v"), F.col("ra"), F.col("dec"), F.col("pa"))
+    both = both.select(*keys, "det", "area", ra.alias("ra"), dec.alias("dec"))
     # As a generator's output the coordinates are computed once: a filter on the pixel is not pushed below it, which
     # would put both of the long expressions into the filter again.
-    at = both.select(*keys, "det", "area", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip("xy", sky_to_pixel(wcs, ra, dec))]))))
+    at = both.select(*keys, "det", "area", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip("xy", sky_to_pixel(wcs, F.col("ra"), F.col("dec")))]))))
     at = at.withColumn("pixel", pixel_index(wcs, F.col("x"), F.col("y")))
     weight = F.col("area") * projection_scale(wcs, F.col("x"), F.col("y"))
     return at.filter("pixel >= 0").select(*keys, "det", F.lit(0).alias("k"), "pixel", weight.cast("float").alias("weight"))
@@ -111,7 +118,7 @@ def nearest_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: li
 
 def sharp_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: list[str] = ["slice", "t"]) -> DataFrame:
     """(keys, det, k, pixel, weight, outside): overlaps of each detector's four projected corners with the pixels below."""
-    both = pointing.crossJoin(F.broadcast(detectors.select("det", "us", "vs")))
+    both = _with_detectors(pointing.select(*keys, "ra", "dec", "pa"), detectors, "det", "us", "vs")
     corner = F.transform(F.arrays_zip("us", "vs"), lambda c: F.struct(*[x.alias(n) for n, x in zip("xy", sky_to_pixel(wcs, *to_sky(c["us"], c["vs"], F.col("ra"), F.col("dec"), F.col("pa"))))]))
     placed = both.select(*keys, "det", corner.alias("c")).select(*keys, "det", F.col("c.x").alias("xs"), F.col("c.y").alias("ys"))
     return overlap_matrix(placed, [*keys, "det"], wcs.naxis)
