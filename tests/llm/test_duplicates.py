@@ -207,6 +207,27 @@ def test_a_passage_with_changed_words_is_one(spark):
     assert len(r) == 1 and r[0].passage_start <= 1 and 88 <= r[0].passage_stop <= 91 and r[0].matched >= 86
 
 
+def unique(*counts):
+    """Runs of words that occur once."""
+    names = (f"w{i}" for i in range(sum(counts)))
+    return [[next(names) for _ in range(n)] for n in counts]
+
+
+def found_words(got, doc):
+    return {i for r in got if r.doc_id == doc for i in range(r.start, r.stop)}
+
+
+def test_passages_on_both_sides_of_a_gap_are_judged_by_themselves(spark):
+    rows, want = [], {}
+    for c, n in enumerate((60, 100, 200)):
+        p1, p2, gap, other = unique(n, n, 150, 150)
+        name = lambda ws, c=c: " ".join(f"{w}c{c}" for w in ws)
+        rows += [(10 * c, name(p1 + p2)), (10 * c + 1, name(p1 + gap + p2)), (10 * c + 2, name(p1 + other + p2))]
+        want |= {10 * c + d: {*range(n), *range(n + 150, 2 * n + 150)} for d in (1, 2)}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {d: found_words(got, d) for d in want} == want
+
+
 def test_removing_passages_keeps_the_rest(spark):
     assert passages.without("a b  c\nd e", [(1, 3)]) == "a d e" and passages.without("a b", [(0, 2)]) == ""
     docs = documents(spark)
