@@ -181,6 +181,14 @@ def test_winnowing_leaves_no_gap():
     assert passages.picked(h[:5], 12).tolist() == [int(h[:5].argmin())] and len(passages.picked(h[:0], 12)) == 0
 
 
+def test_runs_have_equal_hashes_when_their_words_are_equal():
+    w = np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)
+    w[200:260] = w[20:80]
+    for m in (1, 7, 20, 50):
+        h = passages._rolled(w, m)
+        assert len(h) == 301 - m and (h[200 : 261 - m] == h[20 : 81 - m]).all() and len(set(h.tolist())) == len(h) - 61 + m
+
+
 def test_repeated_passages_are_found_and_the_rest_left_alone(spark):
     got = passages.repeated_passages(documents(spark)).collect()
     words = {r[0]: as_bytes(r[1]).lower().split() for r in rows()}
@@ -228,6 +236,25 @@ def test_passages_on_both_sides_of_a_gap_are_judged_by_themselves(spark):
     assert {d: found_words(got, d) for d in want} == want
 
 
+def test_a_passage_is_found_whose_parts_stand_in_smaller_documents(spark):
+    rows, want = [], {}
+    for c in range(20):
+        half = 25 if c % 2 else 30
+        l1, l2, a, b, x, y = unique(half, half, 40, 40, 30, 30)
+        name = lambda ws, c=c: " ".join(f"{w}c{c}" for w in ws)
+        rows += [(10 * c, name(l1 + a)), (10 * c + 1, name(b + l2)), (10 * c + 2, name(x + l1 + l2)), (10 * c + 3, name(l1 + l2 + y))]
+        want |= {10 * c + 3: set(range(2 * half))}
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(want[d] <= found_words(got, d) for d in want)
+
+
+def test_text_that_repeats_inside_its_source_is_found(spark):
+    p, *gaps = unique(60, *[60] * 6)
+    source = [w for i, gap in zip((41, 30, 20, 10, 0), gaps) for w in p[i : i + 19] + gap] + p + gaps[-1]
+    got = passages.repeated_passages(spark.createDataFrame([(1, " ".join(source)), (2, " ".join(p))], "doc_id long, text string")).collect()
+    assert found_words(got, 2) == set(range(60))
+
+
 def test_removing_passages_keeps_the_rest(spark):
     assert passages.without("a b  c\nd e", [(1, 3)]) == "a d e" and passages.without("a b", [(0, 2)]) == ""
     docs = documents(spark)
