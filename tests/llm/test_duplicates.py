@@ -255,6 +255,21 @@ def test_text_that_repeats_inside_its_source_is_found(spark):
     assert found_words(got, 2) == set(range(60))
 
 
+def test_passages_with_many_changed_words_are_found(spark):
+    rnd, rows, n = random.Random(9), [], 0
+    for size in (60, 100):
+        for every in (6, 8, 10, 15):
+            for _ in range(5):
+                p, a, b, c, d, changes = unique(size, 40, 40, 40, 40, size)
+                at = rnd.randrange(every)
+                q = [changes[i] if i % every == at else w for i, w in enumerate(p)]
+                rows += [(2 * n, " ".join(f"{w}c{n}" for w in a + p + b)), (2 * n + 1, " ".join(f"{w}c{n}" for w in c + q + d))]
+                n += 1
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(1, 2 * n, 2))
+    assert all(36 <= r.start and r.stop <= len(rows[r.doc_id][1].split()) - 36 for r in got)
+
+
 def test_removing_passages_keeps_the_rest(spark):
     assert passages.without("a b  c\nd e", [(1, 3)]) == "a d e" and passages.without("a b", [(0, 2)]) == ""
     docs = documents(spark)
