@@ -697,7 +697,7 @@ def mapper_rls(spark, d):
 def mapper_nl(spark, d):
     t = T.samples(spark, d).select("det", "t", "value")
     x0 = spark.range(T.PIXELS).select(F.col("id").cast("int").alias("pixel"), F.lit(0.0).alias("value"))
-    got = solvers.mapper_nl(t, Projection(T.matrix(spark, d)), x0, most=2, tol=1e-3)
+    got = solvers.mapper_nl(t, Projection(T.matrix(spark, d)), x0, tol=1e-3)
     return got.x.select("pixel", r("value", 2).alias("value"))
 
 
