@@ -167,11 +167,14 @@ def exact_duplicates(docs: DataFrame, page: int = PAGE_BYTES, bits: int | None =
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that exact_duplicates() keeps.
 
-    Rows without a doc_id stay. Rows that repeat a doc_id stay if one of them is kept, one for each normalised text.
+    Rows without a doc_id stay. Of rows that repeat a doc_id those stay whose normalised text is kept, one for each.
     """
-    found = exact_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = exact_duplicates(docs, **options)
+    found = rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = found.filter("doc_id is not null and not kept").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = found.filter("doc_id is not null and n > 1").select("doc_id")
-    one = left.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("__norm", normalised()).dropDuplicates(["doc_id", "__norm"]).drop("__norm")
+    texts = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("kept"))
+    named = left.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("__sha", F.sha2(normalised(), 256))
+    one = named.join(texts.filter("not kept").select("doc_id", "__sha"), ["doc_id", "__sha"], "left_anti").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)

@@ -146,6 +146,11 @@ def test_without_duplicates_has_one_row_for_each_text(spark):
     assert sum(r.doc_id is None for r in got) == 2
 
 
+def test_a_copy_goes_even_if_its_doc_id_has_another_text(spark):
+    df = spark.createDataFrame([(1, "a copy"), (5, "a copy"), (5, "another text"), (5, "another text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in exact.without_duplicates(df).collect()) == [(1, "a copy"), (5, "another text")]
+
+
 def test_the_directory_doubles():
     d = exact.Directory({i: 10 for i in range(16)}, 4, 25)
     assert d.depth == 3 and len(d.entries) == 8 and all(d.size(b) <= 25 for b in set(d.entries)) and sum(d.size(b) for b in set(d.entries)) == 160
