@@ -137,7 +137,7 @@ def sigma_clipping(spark, d):
     SELECT det, any_value(n) AS n, round(any_value(mu), 6) AS mean, round(any_value(sd) * any_value(sd), 6) AS variance, round(sum(power(x - mu, 3)) / (any_value(n) * power(any_value(sd), 3)), 6) AS skewness,
     round(sum(power(x - mu, 4)) / (any_value(n) * power(any_value(sd), 4)) - 3, 6) AS kurtosis, round(any_value(sd), 6) AS stddev, round(avg(abs(x - mu)), 6) AS meandev FROM v JOIN m USING (det) GROUP BY det""")
 def moment(spark, d):
-    out = aggregates.moments(T.tod(spark, d), "value", ["det"], "masked").filter("n > 3")
+    out = aggregates.moments(T.tod(spark, d), "value", ["det"], "masked")
     return out.select("det", "n", *[r(c, 6).alias(c) for c in ("mean", "variance", "skewness", "kurtosis", "stddev", "meandev")])
 
 
@@ -331,18 +331,14 @@ def subtract_mean(spark, d):
 _LINE = f"{A}, f AS (SELECT det, regr_slope(value, t) AS b, regr_intercept(value, t) AS c FROM a WHERE NOT masked GROUP BY det HAVING count(*) > 1) SELECT det, t, round(value - c - b * t, 5) AS value FROM a JOIN f USING (det)"
 
 
-def _two(df):
-    return df.join(df.groupBy("det").agg(F.count_if(~F.col("masked")).alias("n")).filter("n > 1").select("det"), "det")
-
-
 @query(_LINE)
 def filter_line(spark, d):
-    return _out(timeline.filter_line(_two(T.tod(spark, d)), ["det"], "t", "value", "masked"), 5)
+    return _out(timeline.filter_line(T.tod(spark, d), ["det"], "t", "value", "masked"), 5)
 
 
 @query(_LINE)
 def filter_polynomial(spark, d):
-    return _out(timeline.filter_polynomial(_two(T.tod(spark, d)), ["det"], "t", "value", 1, "masked"), 5)
+    return _out(timeline.filter_polynomial(T.tod(spark, d), ["det"], "t", "value", 1, "masked"), 5)
 
 
 @query()
