@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.geometry import hull
 
@@ -38,7 +39,7 @@ def reorder(df: DataFrame, keys: list[str], order: str, value: str, rtol: float
         w = Window.partitionBy(*keys, good).orderBy(value)
         return df.withColumn(name, F.when(good, F.dense_rank().over(w)))
     distinct = df.filter(good).select(*keys, value).distinct()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
+    kinds = StructType([*distinct.schema, StructField("__i", IntegerType())])
 
     def run(table):
         table = table.sort_by(value)
@@ -49,7 +50,7 @@ def reorder(df: DataFrame, keys: list[str], order: str, value: str, rtol: float
             out.append(n)
         return table.append_column("__i", pa.array(out, pa.int32()))
 
-    found = (distinct.groupBy(*keys) if keys else distinct.groupBy(F.lit(1))).applyInArrow(run, f"{kinds}, __i int")
+    found = (distinct.groupBy(*keys) if keys else distinct.groupBy(F.lit(1))).applyInArrow(run, kinds)
     found = found.select(*[F.col(k).alias(f"__{n}") for n, k in enumerate(keys)], F.col(value).alias("__v"), "__i")
     marked = df.withColumn("__good", good)
     on = [F.col(k).eqNullSafe(F.col(f"__{n}")) for n, k in enumerate(keys)] + [F.col(value) == F.col("__v"), F.col("__good")]
@@ -70,7 +71,7 @@ def arithmetic(df: DataFrame, vector: DataFrame, keys: list[str], value: str, ho
 
 def convex_hull(df: DataFrame, keys: list[str], x: str, y: str, name: str = "corner") -> DataFrame:
     """The points on each key's hull with their number, counter-clockwise from the leftmost of the lowest."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` int"
+    schema = StructType([*df.schema, StructField(name, IntegerType())])
 
     def run(table):
         at = hull(np.asarray(table.column(x), float), np.asarray(table.column(y), float))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .joins import on_keys
 
@@ -27,26 +28,48 @@ def _with(df: DataFrame, value: str, new: Column) -> DataFrame:
     return df.withColumn(value, new)
 
 
+#: Places of a block, where a vector without keys, such as a map, is taken apart by its order.
+BLOCK = 1 << 16
+
+
+def _beside(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Adds __before and __after, the values of the rows beside; null at the ends.
+
+    Without keys the vector is one sequence that no task could sort: windows then are blocks of places, and the rows at a
+    block's rims take the last and first values of the blocks beside from a table with one row for each block.
+    """
+    if keys:
+        w = over(keys, order)
+        return df.withColumn("__before", F.lag(value).over(w)).withColumn("__after", F.lead(value).over(w))
+    cut = df.withColumn("__block", F.floor(F.col(order) / BLOCK))
+    ends = cut.groupBy("__block").agg(F.min_by(value, order).alias("__first"), F.max_by(value, order).alias("__last"))
+    row = Window.orderBy("__block")  # one row for each block
+    rims = ends.select(F.col("__block").alias("__of"), F.lag("__last").over(row).alias("__low"), F.lead("__first").over(row).alias("__high"))
+    w = Window.partitionBy("__block").orderBy(order)
+    near = cut.withColumn("__before", F.lag(value).over(w)).withColumn("__after", F.lead(value).over(w)).join(rims, F.col("__block") == F.col("__of"))
+    return near.select(*df.columns, F.coalesce("__before", "__low").alias("__before"), F.coalesce("__after", "__high").alias("__after"))
+
+
 # Differences
 
 
 def diff(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """x[i] - x[i + 1]; the last is 0."""
-    return _with(df, value, F.coalesce(F.col(value) - F.lead(value).over(over(keys, order)), F.lit(0.0)))
+    return _beside(df, keys, order, value).withColumn(value, F.coalesce(F.col(value) - F.col("__after"), F.lit(0.0))).select(*df.columns)
 
 
 def diff_adjoint(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """First x[0], then x[i] - x[i - 1], last -x[n - 2]; a single value gives 0."""
-    w = over(keys, order)
-    before, after, x = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-    return _with(df, value, F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), x).when(after.isNull(), -before).otherwise(x - before))
+    before, after, x = F.col("__before"), F.col("__after"), F.col(value)
+    out = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), x).when(after.isNull(), -before).otherwise(x - before)
+    return _beside(df, keys, order, value).withColumn(value, out).select(*df.columns)
 
 
 def diff_normal(df: DataFrame, keys: list[str], order: str, value: str, scalar: float = 1.0) -> DataFrame:
     """diff_adjoint(diff(x)) times scalar in one window: 2 x[i] less its neighbours, with free ends."""
-    w = over(keys, order)
     x = F.col(value)
-    return _with(df, value, scalar * (F.coalesce(x - F.lag(value).over(w), F.lit(0.0)) + F.coalesce(x - F.lead(value).over(w), F.lit(0.0))))
+    out = scalar * (F.coalesce(x - F.col("__before"), F.lit(0.0)) + F.coalesce(x - F.col("__after"), F.lit(0.0)))
+    return _beside(df, keys, order, value).withColumn(value, out).select(*df.columns)
 
 
 # Shift and padding
@@ -222,7 +245,7 @@ def filter_median_window(df: DataFrame, keys: list[str], order: str, value: str,
 
 def by_timeline(df: DataFrame, keys: list[str], order: str, columns: dict[str, str], fn) -> DataFrame:
     """Calls fn(columns as numpy arrays in order) -> dict of new arrays, once for each key; other columns go along."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in columns) + "".join(f", `{n}` {t}" for n, t in columns.items())
+    schema = StructType([f for f in df.schema if f.name not in columns] + [StructField(n, DataType.fromDDL(t)) for n, t in columns.items()])
 
     def run(table):
         table = table.sort_by(order)
