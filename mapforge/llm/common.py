@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: Bytes of an Arrow batch that goes to Python. Spark's own bound is 64 MB, and both sides hold a batch twice while it grows.
+BATCH_BYTES = 8_000_000
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: Characters of text that a Python worker takes apart at a time; bounds its memory whatever the batch holds.
 CHUNK_CHARS = 3_000_000
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,6 +87,32 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are used again by later stages, whose own memory comes on top else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes, after which the worker gives back what it has freed.
+
+    The bound is a setting of the session; one that was chosen there stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches whose texts have about limit bytes together, with those texts (null: empty)."""
     for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, path_of, remove, saved
+from .common import apart, in_batches, path_of, remove, saved
 
 #: Edges up to which one task finishes.
 FINISH = 1_000_000
@@ -42,7 +42,7 @@ def _joined_up(e: DataFrame) -> DataFrame:
             part = nodes[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([top(x) for x in part.tolist()], pa.int64())], ["node", "component"])
 
-    return e.coalesce(1).mapInArrow(run, "node long, component long")
+    return in_batches(e.coalesce(1), run, "node long, component long")
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, apart, column_names, new_path, partitions, saved
+from .common import SPACE, apart, column_names, in_batches, new_path, partitions, saved
 
 #: Bytes of normalised text that a bucket page is meant to hold.
 PAGE_BYTES = 32_000_000
@@ -138,7 +138,7 @@ def _owned(spark: SparkSession, folder: str) -> DataFrame:
 
     kind = "page string, key long, doc_id long, points long, norm string"
     held = spark.read.schema(kind).parquet(folder)
-    return held.select("page", "key", "doc_id", "points", "norm").mapInArrow(run, "key long, doc_id long, points long, row long, link binary")
+    return in_batches(held.select("page", "key", "doc_id", "points", "norm"), run, "key long, doc_id long, points long, row long, link binary")
 
 
 def exact_duplicates(docs: DataFrame, page: int = PAGE_BYTES, bits: int | None = None) -> DataFrame:

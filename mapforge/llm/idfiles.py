@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_names, new_path, partitions, pieces, saved
-from .tokens import CHUNK, codec
+from .common import column_names, in_batches, new_path, partitions, pieces, saved
+from .tokens import CHUNK, borrowed
 
 MAGIC = b"MFDAC001"
 CHUNK_BITS, BLOCK_BITS = 8, 512
@@ -157,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataF
     """
 
     def run(batches):
-        own, task = codec(path), TaskContext.get()
+        task = TaskContext.get()
         part = task.partitionId()
         store, base = _store(folder)
         flats: list = []
@@ -177,27 +177,28 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataF
             held, n = 0, n + 1
             return row
 
-        for batch, texts in pieces(batches, limit=CHUNK):
-            flat, each = own.encode(texts)
-            whole = np.full(len(flat) + len(each), end_id, np.uint32)
-            ends = np.cumsum(each + 1) - 1
-            mask = np.ones(len(whole), bool)
-            mask[ends] = False
-            whole[mask] = flat
-            flats.append(whole)
-            names.extend(NO_ID if x is None else x for x in batch.column("doc_id").to_pylist())
-            sizes.extend((each + 1).tolist())
-            held += len(whole)
-            if held >= FILE_IDS:
+        with borrowed(path) as own:
+            for batch, texts in pieces(batches, limit=CHUNK):
+                flat, each = own.encode(texts)
+                whole = np.full(len(flat) + len(each), end_id, np.uint32)
+                ends = np.cumsum(each + 1) - 1
+                mask = np.ones(len(whole), bool)
+                mask[ends] = False
+                whole[mask] = flat
+                flats.append(whole)
+                names.extend(NO_ID if x is None else x for x in batch.column("doc_id").to_pylist())
+                sizes.extend((each + 1).tolist())
+                held += len(whole)
+                if held >= FILE_IDS:
+                    yield flush()
+            if names:
                 yield flush()
-        if names:
-            yield flush()
 
     spark = docs.sparkSession
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
     placed = column_names(docs, "doc_id", "text").repartitionByRange(max(2, partitions(spark)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return saved(placed.mapInArrow(run, "part long, file string, docs long, ids long"), "manifest")
+    return saved(in_batches(placed, run, "part long, file string, docs long, ids long"), "manifest")
 
 
 def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
@@ -232,7 +233,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                     )
                     at = stop
 
-    return table.mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return in_batches(table, run, "doc_id long, start long, ids array<int>")
 
 
 def written_and_read(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
@@ -251,4 +252,4 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(rows.select("doc_id", "start", "ids"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, column_names, pieces, saved
+from .common import apart, column_names, in_batches, pieces, saved
 from .components import components
 from .shingles import WordHasher, mix, shingle_sets, signatures
 
@@ -57,7 +57,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "f1", "f2", "sig"],
             )
 
-    return column_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return in_batches(column_names(docs, "doc_id", "text"), run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def bucket_keys(sigs: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def bucket_keys(sigs: DataFrame) -> DataFrame:
             ids = np.repeat(np.asarray(batch.column("doc_id")), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "doc_id"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
+    return in_batches(sigs.select("doc_id", "sig"), run, "key long, doc_id long")
 
 
 def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
     two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("node"), sets], ["doc_id", "shingles"]).filter(pa.array(keep))
 
     named = wanted.select(F.col("doc_id").alias("node"), F.col("real").alias("doc_id"), "f1", "f2")
-    return column_names(docs, "doc_id", "text").join(named, "doc_id").select("node", "text", "f1", "f2").mapInArrow(run, "doc_id long, shingles binary")
+    return in_batches(column_names(docs, "doc_id", "text").join(named, "doc_id").select("node", "text", "f1", "f2"), run, "doc_id long, shingles binary")
 
 
 def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 ids = np.repeat(np.asarray(part.column("doc_id")), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids), pa.array(np.repeat(sizes, sizes))], ["key", "doc_id", "n"])
 
-    rows = saved(sets.mapInArrow(spread, "key long, doc_id long, n int"), "shingles")
+    rows = saved(in_batches(sets, spread, "key long, doc_id long, n int"), "shingles")
     often = apart(rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
     both = rows.join(often, "key")
     own = Window.partitionBy("doc_id")  # a document's shingles

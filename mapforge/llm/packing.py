@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, pieces, saved
-from .tokens import CHUNK, codec
+from .common import column_names, in_batches, pieces, saved
+from .tokens import CHUNK, borrowed
 
 #: Sequence length, open windows of a partition, and partitions whose leftovers one task merges.
 LENGTH, OPEN, FAN_IN = 1024, 256, 32
@@ -63,7 +63,7 @@ def _placed(docs: DataFrame, path: str, end_id: int, length: int, most: int, pay
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
-        packer, own = Packer(length, most, part_id << _BITS), codec(path)
+        packer = Packer(length, most, part_id << _BITS)
         held: dict[int, list] = {}  # rows of open windows; these are few
 
         def batch(rows: list, closed: bool) -> pa.RecordBatch:
@@ -73,30 +73,31 @@ def _placed(docs: DataFrame, path: str, end_id: int, length: int, most: int, pay
             last = pa.array(cols[6], pa.list_(pa.int32()) if payload == "ids" else pa.int64())
             return pa.RecordBatch.from_arrays([*out, pa.array([part_id] * len(rows), pa.int64()), pa.array([closed] * len(rows), pa.bool_()), last], ["doc_id", "start", "length", "doc_tokens", "window", "offset", "part", "closed", payload])
 
-        for part, texts in pieces(batches, limit=CHUNK):
-            flat, sizes = own.encode(texts)
-            done: list = []
-            at = 0
-            for doc, n in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
-                ids = np.empty(n + 1, np.uint32)
-                ids[:n], ids[n] = flat[at : at + n], end_id
-                at += n
-                for start in range(0, n + 1, length):
-                    piece = ids[start : start + length]
-                    said = zlib.crc32(piece.astype("<u4").tobytes()) if payload == "ids_crc32" else piece.astype(np.int32)
-                    if len(piece) == length:
-                        done.append((doc, start, length, n + 1, packer.new(), 0, said))
-                        continue
-                    window, offset = packer.place(len(piece))
-                    held.setdefault(window, []).append((doc, start, len(piece), n + 1, window, offset, said))
-            for window in packer.full:
-                done.extend(held.pop(window))
-            packer.full.clear()
-            yield batch(done, True)
+        with borrowed(path) as own:
+            for part, texts in pieces(batches, limit=CHUNK):
+                flat, sizes = own.encode(texts)
+                done: list = []
+                at = 0
+                for doc, n in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
+                    ids = np.empty(n + 1, np.uint32)
+                    ids[:n], ids[n] = flat[at : at + n], end_id
+                    at += n
+                    for start in range(0, n + 1, length):
+                        piece = ids[start : start + length]
+                        said = zlib.crc32(piece.astype("<u4").tobytes()) if payload == "ids_crc32" else piece.astype(np.int32)
+                        if len(piece) == length:
+                            done.append((doc, start, length, n + 1, packer.new(), 0, said))
+                            continue
+                        window, offset = packer.place(len(piece))
+                        held.setdefault(window, []).append((doc, start, len(piece), n + 1, window, offset, said))
+                for window in packer.full:
+                    done.extend(held.pop(window))
+                packer.full.clear()
+                yield batch(done, True)
         yield batch([row for rows in held.values() for row in rows], False)
 
     kind = "ids array<int>" if payload == "ids" else "ids_crc32 long"
-    return column_names(docs, "doc_id", "text").mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, window long, offset long, part long, closed boolean, {kind}")
+    return in_batches(column_names(docs, "doc_id", "text"), run, f"doc_id long, start long, length long, doc_tokens long, window long, offset long, part long, closed boolean, {kind}")
 
 
 def _merged(left: DataFrame, level: int, length: int, most: int) -> DataFrame:
@@ -142,6 +143,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, length: int = LENGTH, most
 
 
 def restored(packed: DataFrame) -> DataFrame:
-    """(doc_id, ids): the documents back from pieces with ids; for checks of a round trip."""
+    """(doc_id, ids): the documents back from pieces with ids; for checks of a round trip. Rows that repeat a doc_id, or have none, are run together."""
     parts = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("p"))
     return parts.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, pieces
+from .common import column_names, in_batches, pieces
 from .shingles import as_bytes
 
 #: Dimensions of a vector's two halves, non-zero entries of an index vector, words on each side of a context.
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for part, texts in pieces(batches, limit=1_500_000):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.scores(vectors.documents(texts)).astype(np.float64))], ["doc_id", "score"])
 
-    scored = column_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = in_batches(column_names(docs, "doc_id", "text"), run, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -220,4 +220,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
         for part, texts in pieces(batches, limit=1_500_000):
             yield part.filter(pa.array(sent.value.scores(vectors.documents(texts)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import column_names, pieces, ragged
+from .common import column_names, in_batches, pieces, ragged
 
 #: Characters of a pre-token beyond which it is encoded by tree concatenation, and of a leaf of that tree.
 LONG, LEAF = 2048, 512
@@ -303,17 +304,27 @@ def codec(path: str, long: int = LONG, leaf: int = LEAF) -> Codec:
     return _CODECS[key]
 
 
+@contextmanager
+def borrowed(path: str, long: int = LONG, leaf: int = LEAF) -> Iterator[Codec]:
+    """A task's use of the worker's codec, which forgets its cuts after it."""
+    own = codec(path, long, leaf)
+    try:
+        yield own
+    finally:
+        own.forget()
+
+
 def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str = "ids", long: int = LONG, leaf: int = LEAF) -> DataFrame:
     """(key, ids array<int>): the token ids of each row's whole text; null counts as empty and gives no ids."""
 
     def run(batches):
-        own = codec(path, long, leaf)
-        for part, texts in pieces(batches, text, CHUNK):
-            flat, sizes = own.encode(texts)
-            yield pa.RecordBatch.from_arrays([part.column(key), ragged(flat.astype(np.int32), sizes, pa.int32())], [key, ids])
+        with borrowed(path, long, leaf) as own:
+            for part, texts in pieces(batches, text, CHUNK):
+                flat, sizes = own.encode(texts)
+                yield pa.RecordBatch.from_arrays([part.column(key), ragged(flat.astype(np.int32), sizes, pa.int32())], [key, ids])
 
     kind = docs.schema[key].dataType.simpleString()
-    return column_names(docs, key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
+    return in_batches(column_names(docs, key, text), run, f"`{key}` {kind}, `{ids}` array<int>")
 
 
 def decode(tok: Tokenizer, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
@@ -333,7 +344,7 @@ def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str =
                 lists = [x or [] for x in part.column(part.schema.get_field_index(ids)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(tok.decode_batch(lists, skip_special_tokens=False), pa.string())], [key, text])
 
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, `{text}` string")
+    return in_batches(encoded.select(key, ids), run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, `{text}` string")
 
 
 def round_trip(docs: DataFrame, path: str, long: int = LONG, leaf: int = LEAF) -> DataFrame:
@@ -345,9 +356,9 @@ def round_trip(docs: DataFrame, path: str, long: int = LONG, leaf: int = LEAF) -
     """
 
     def run(batches):
-        own = codec(path, long, leaf)
-        for part, texts in pieces(batches, limit=CHUNK):
-            flat, sizes = own.encode(texts)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ragged(flat.astype(np.int32), sizes, pa.int32()), pa.array(decode(own.tok, flat, sizes), pa.string())], ["doc_id", "ids", "decoded"])
+        with borrowed(path, long, leaf) as own:
+            for part, texts in pieces(batches, limit=CHUNK):
+                flat, sizes = own.encode(texts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ragged(flat.astype(np.int32), sizes, pa.int32()), pa.array(decode(own.tok, flat, sizes), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return column_names(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return in_batches(column_names(docs, "doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, new_path, saved
+from .common import column_names, in_batches, new_path, saved
 
 #: Payloads below this many bytes are always stored, and bytes of content after which a task begins another archive.
 LEAST_BYTES, FILE_BYTES = 1000, 64_000_000
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_BYTES, date
         if out is not None:
             yield close()
 
-    return saved(resolve_revisits(pages, least).mapInArrow(run, "file string, records long"), "manifest")
+    return saved(in_batches(resolve_revisits(pages, least), run, "file string, records long"), "manifest")
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -149,7 +149,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     files = manifest.select("file").repartition(max(1, manifest.count()))
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string, url string, html binary")
+    return in_batches(files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string, url string, html binary")
 
 
 def archived(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = None) -> DataFrame:
