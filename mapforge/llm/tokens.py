@@ -1,16 +1,21 @@
-"""Encoding and decoding with byte-pair vocabularies, exactly as the tokenizers library does.
-
-A text is cut before each run of ASCII white space. No pre-token of the two kinds of vocabulary reaches across
-such a cut, so the ids of a text are those of its cuts, one after the other. Each worker encodes a cut once and
-then looks it up. (A text in which other white space occurs is encoded as a whole, since a run of mixed white
-space may be split differently.)
-
-A long cut without white space is encoded by tree concatenation: its halves are encoded apart, down to short
-leaves that the library encodes in parallel, and two neighbours are joined by encoding a growing window of text
-around the join until the window's ids agree with those on both sides, in id and in place. Byte-pair encoding is
-determined by neighbouring tokens alone: a sequence in which every neighbouring pair is what their joint text
-encodes to is the encoding of the whole, so the result is exact, not approximate. A pre-token is never guessed: the
-library's own pre-tokenizer cuts the text, and only single long pre-tokens are halved.
+"""Encoding and decoding with byte-pair vocabularies, exactly as the tokenizers library does, by tree concatenation.
+
+A text of more than LONG characters is halved, wherever that falls, down to leaves. The leaves of many texts are
+encoded at once; then neighbours are joined, pair by pair up the tree, by encoding a growing window of text around
+the join until what the window gives agrees with both sides, in ids and in place. So an id near a cut, be it in the
+middle of a word or of a special token, comes from a window that holds the cut, and all others from a leaf.
+
+What two encodings can agree on are cuts: a run of ASCII white space and the word after it. No pre-token of the two
+kinds of vocabulary reaches across their rims, so the ids of a text are those of its cuts, one after the other, and a
+window agrees with a side when its outermost cut is the side's. A worker encodes each cut once and then looks it up.
+(A text in which other white space occurs is encoded as a whole, since a run of mixed white space may be split
+differently.)
+
+A long cut without white space has nothing to agree on but its tokens: its pre-tokens are halved, and joined by windows
+of tokens until the window's ids agree with those on both sides, in id and in place. Byte-pair encoding is determined by
+neighbouring tokens alone: a sequence in which every neighbouring pair is what their joint text encodes to is the
+encoding of the whole, so the result is exact, not approximate. A pre-token is never guessed: the library's own
+pre-tokenizer cuts the text, and only single long pre-tokens are halved.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import column_names, in_batches, pieces, ragged
+from .common import SPACE, column_names, in_batches, pieces, ragged
 
-#: Characters of a pre-token beyond which it is encoded by tree concatenation, and of a leaf of that tree.
-LONG, LEAF = 2048, 512
-#: Tokens on each side of a join that the first window holds.
-WINDOW = 8
+#: Characters of a text or a pre-token that is one leaf by itself, and of the leaves that a longer one is cut into.
+LONG, LEAF = 2048, 2048
+#: Tokens, and cuts, on each side of a join that the first window holds.
+WINDOW, WINDOW_CUTS = 8, 1
 #: Cuts after which a worker's memory of them starts afresh, and characters that it encodes at a time.
 CACHE_CUTS = 300_000
 CHUNK = 2_000_000
@@ -139,13 +144,18 @@ class _Cuts(dict):
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.names: list[bytes] = []
+        self.seen = 0  # cuts that take_new() has returned
 
     def __missing__(self, cut: bytes) -> int:
         n = self[cut] = len(self)
-        self.new.append(cut)
+        self.names.append(cut)
         return n
 
+    def take_new(self) -> list[bytes]:
+        new, self.seen = self.names[self.seen :], len(self.names)
+        return new
+
 
 class Codec:
     """Encodes texts with one vocabulary, remembering cuts."""
@@ -159,6 +169,7 @@ class Codec:
         self.end = b"\xff" if said["model"].get("end_of_word_suffix") else b""
         self.specials = [t["content"] for t in said["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.joins = self.grown = 0  # joins of halves of texts, and those whose window had to grow
         self.forget()
 
     def forget(self) -> None:
@@ -229,7 +240,7 @@ class Codec:
     # Many texts
 
     def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
+        new = self.known.take_new()
         n = len(self.known) - len(new)
         if len(self.known) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros(max(len(self.bounds), len(new)), np.int64)])
@@ -263,17 +274,73 @@ class Codec:
         self.flat[self.used : self.used + len(all_ids)] = all_ids
         self.used += len(all_ids)
 
+    def _leaves(self, text: str) -> list[str]:
+        """The text halved until no part is longer than a leaf."""
+        if len(text) <= self.long:
+            return [text]
+        n = 1 << (-(-len(text) // self.leaf) - 1).bit_length()
+        ends = [len(text) * i // n for i in range(n + 1)]
+        return [text[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _split(self, raw: list[bytes]) -> list[list[bytes]]:
+        # Vocabularies of words drop white space, so that their cuts need none.
+        return [t.split() for t in raw] if self.kind == "words" else list(map(_CUTS.findall, raw))
+
+    def _join(self, left: list[int], right: list[int], apart: bool) -> list[int]:
+        """The cuts of a text from those of its two halves; apart says that white space is at the join."""
+        if not left or not right:
+            return left or right
+        self.joins += 1
+        window, names = WINDOW_CUTS, self.known.names
+        while True:
+            i, j = max(0, len(left) - window), min(len(right), window)
+            if self.kind == "words":
+                text = b" ".join(names[n] for n in left[i:]) + (b" " if apart else b"") + b" ".join(names[n] for n in right[:j])
+            else:
+                text = b"".join(names[n] for n in left[i:] + right[:j])
+            mid = [self.known[c] for c in self._split([text])[0]]
+            if (i == 0 or mid[0] == left[i]) and (j == len(right) or mid[-1] == right[j - 1]):
+                return left[:i] + mid + right[j:]
+            self.grown += window == WINDOW_CUTS
+            window *= 2
+
+    def _joined_up(self, leaves: list[list[str]], per_text: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cuts, number of cuts of each text) from those of all leaves, level by level up each text's tree."""
+        ends = np.cumsum(counts)
+        last = np.cumsum(per_text)
+        parts, sizes, done = [], np.empty(len(leaves), np.int64), 0
+        for n, own in enumerate(leaves):
+            first = last[n] - len(own)
+            if len(own) == 1:
+                sizes[n] = counts[first]
+                continue
+            begin = int(ends[first] - counts[first])
+            parts.append(at[done:begin])
+            done = int(ends[last[n] - 1])
+            level = [at[e - c : e].tolist() for e, c in zip(ends[first : last[n]].tolist(), counts[first : last[n]].tolist())]
+            apart = [a[-1:] in SPACE or b[:1] in SPACE for a, b in zip(own, own[1:])]  # at each join
+            step = 1
+            while len(level) > 1:
+                level = [self._join(level[k], level[k + 1], apart[(k + 1) * step - 1]) for k in range(0, len(level), 2)]
+                step *= 2
+            parts.append(np.array(level[0], np.int64))
+            sizes[n] = len(level[0])
+        return np.concatenate([*parts, at[done:]]), sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts as uint32, one text after the other, and each text's number of ids."""
         if len(self.known) > self.cache:
             self.forget()
-        raw = (t.encode("utf-8", "surrogatepass") for t in texts)
-        # Vocabularies of words drop white space, so that their cuts need none.
-        split = [t.split() for t in raw] if self.kind == "words" else list(map(_CUTS.findall, raw))
+        leaves = [self._leaves(t) for t in texts]
+        split = self._split([t.encode("utf-8", "surrogatepass") for own in leaves for t in own])
         counts = np.fromiter(map(len, split), np.int64, len(split))
         cuts = [c for s in split for c in s]
         at = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
         self._learn()
+        per_text = np.fromiter(map(len, leaves), np.int64, len(leaves))
+        if len(split) > len(texts):
+            at, counts = self._joined_up(leaves, per_text, at, counts)
+            self._learn()
         starts = self.bounds[at]
         lengths = self.bounds[at + 1] - starts
         before = np.cumsum(lengths) - lengths
@@ -315,7 +382,10 @@ def borrowed(path: str, long: int = LONG, leaf: int = LEAF) -> Iterator[Codec]:
 
 
 def encode_column(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str = "ids", long: int = LONG, leaf: int = LEAF) -> DataFrame:
-    """(key, ids array<int>): the token ids of each row's whole text; null counts as empty and gives no ids."""
+    """(key, ids array<int>): the token ids of each row's whole text; null counts as empty and gives no ids.
+
+    One row for each row of docs: null or repeated keys are carried along. Other columns are ignored; no rows give none.
+    """
 
     def run(batches):
         with borrowed(path, long, leaf) as own:
@@ -334,7 +404,10 @@ def decode(tok: Tokenizer, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
 
 
 def decode_column(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """(key, text): the text of each row's ids. Null ids count as none."""
+    """(key, text): the text of each row's ids. Null ids count as none.
+
+    One row for each row of encoded: null or repeated keys are carried along. Other columns are ignored; no rows give none.
+    """
 
     def run(batches):
         tok = codec(path).tok

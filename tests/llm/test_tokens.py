@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from fixtures import documents, empty, rows
 from hypothesis import given, settings
@@ -126,3 +127,26 @@ def test_written_and_read(spark, monkeypatch):
         assert r.doc_id == (i if has else None) and r.start == start and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert idfiles.written_and_read(empty(spark), WORD).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_texts_are_joined_from_halves(path):
+    """Documents of the driver's tables go up the tree, and every id is the library's."""
+    docs = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    plain, halved = tokens.Codec(path, 10**9), tokens.Codec(path)
+    ids, sizes = halved.encode(docs)
+    assert halved.joins >= len([d for d in docs if len(d) > tokens.LONG]) > 0 and not plain.joins
+    want = [LIBRARY[path].encode(d, add_special_tokens=False).ids for d in docs]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    small = tokens.Codec(path, 7, 5)
+    texts = ["x" * 90 + " tail of it", "ab cd<|endoftext|>ef gh", " \n" * 20 + "end", "one" + " " * 30, "don't can't I'll " * 5]
+    got = small.encode(texts)[0].tolist()
+    assert got == sum((LIBRARY[path].encode(d, add_special_tokens=False).ids for d in texts), [])
+    assert small.joins and small.grown
+
+
+def test_a_task_forgets_its_cuts():
+    with tokens.borrowed(WORD) as own:
+        own.encode(["one two three"])
+        assert own.known
+    assert not own.known
