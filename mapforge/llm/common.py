@@ -71,6 +71,25 @@ def apart(df: DataFrame, name: str) -> DataFrame:
     return saved(df, name)
 
 
+def left_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with right's columns by a key that many rows of left may lack: those meet nothing, and are dealt evenly.
+
+    An outer join deals rows by their key alone, so that all without one would go to one task. left is a written table,
+    whose rows have the same numbers each time it is read; right has one row for each key.
+    """
+    salt = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).otherwise(F.lit(0).cast("long"))
+    # Always 0, but not a constant, which the optimiser would take out of the join's keys again.
+    none = F.pmod(F.xxhash64(key), F.lit(1).cast("long"))
+    return left.withColumn("__salt", salt).join(right.withColumn("__salt", none), [key, "__salt"], "left").drop("__salt")
+
+
+def without_keys(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of docs, all columns, whose key is not in gone; those without a key, however many, stay and are not shuffled."""
+    has = F.col(key).isNotNull()
+    left = docs.filter(has).join(gone.select(key), key, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(~has))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder that is no longer read."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ class is compared with the smallest one; verified links give components; only in
 more components can a link be missing. The classes of those are compared by an exact prefix join: shingles are
 ordered by how often they occur among these classes, and two sets with the required similarity must share one of
 the rarest (1 - 0.75) n + 1 shingles. Large groups of that join are families of copies; their pairs are compared
-in blocks, of which only spanning links come out. Every link is confirmed on the full sets.
+in blocks, of which only spanning links come out. Every pair that comes out of a join is decided on the full sets.
 """
 
 from __future__ import annotations
@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, column_names, in_batches, pieces, saved
+from .common import apart, column_names, in_batches, left_by_key, pieces, saved, without_keys
 from .components import components
 from .shingles import WordHasher, mix, shingle_sets, signatures
 
 SYMBOLS, CHUNK = 60, 5
 #: Largest distance that every pair is found for.
 GUARANTEED = 2 * (SYMBOLS // CHUNK) - 1
-#: Pairs further apart than this are not verified: at similarity 0.75 the odds of that are 1e-9.
-FARTHEST = 36
 #: Documents of a group up to which its pairs are looked at one by one, and documents of a block in larger groups.
 SMALL, BLOCK_DOCS = 32, 256
 
@@ -83,20 +81,6 @@ def bucket_keys(sigs: DataFrame) -> DataFrame:
     return in_batches(sigs.select("doc_id", "sig"), run, "key long, doc_id long")
 
 
-def _near(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures are at most FARTHEST symbols apart."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("x", "y"))
-            keep = (x != y).sum(axis=1) <= FARTHEST
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    one = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
-    two = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
-    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), run, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
 
@@ -236,13 +220,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     stars = shared.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = heads.select("doc_id", "real", "f1", "f2").join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = saved(_full_sets(docs, wanted), "sets")
-    links = saved(_confirmed(_near(stars, heads), sets, percent), "links")
+    links = saved(_confirmed(stars, sets, percent), "links")
     first = saved(components(links), "components")
 
     # Buckets that hold several components may hide further links.
     member = shared.select("key", "doc_id").join(first.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     member = saved(member, "members")
     open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    open_keys = apart(open_keys, "open-keys")
     rest = saved(member.join(open_keys, "key").select("doc_id", "component").distinct(), "open")
     keyed = _prefixes(sets.join(rest.select("doc_id"), "doc_id", "left_semi"), rest, percent)
     groups = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
@@ -250,16 +235,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     live = saved(keyed.join(groups, "key"), "groups")
     one, two = (live.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
     pairs = one.join(two, "key").filter("a > b and ca <> cb").select("a", "b").distinct()
-    more = saved(_confirmed(_near(pairs, heads), sets, percent), "links")
+    more = saved(_confirmed(pairs, sets, percent), "links")
     spans = saved(_blocks(live.filter(F.col("n") > SMALL).select("key", "doc_id"), sets, percent), "links")
 
     # Other rows of a class are linked with its number; so are all rows of one doc_id with each other.
     same = real.select("doc_id", "f1", "f2", "n_shingles").join(heads.select("f1", "f2", "n_shingles", F.col("doc_id").alias("head")), ["f1", "f2", "n_shingles"])
     copies = same.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     found = components(links.union(more).union(spans).union(copies))
-    rows = sigs.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    smallest = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(smallest, "component", "left").select(
+    # Rows without a doc_id, and then those without a link, have no key in these joins; most documents are of that kind.
+    rows = saved(left_by_key(sigs, found.select(F.col("node").alias("doc_id"), "component"), "doc_id").select("doc_id", "n_shingles", "component"), "rows")
+    smallest = apart(rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "smallest")
+    return left_by_key(rows, smallest, "component").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce(F.coalesce("least", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
@@ -270,4 +256,4 @@ def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     Rows without a doc_id stay; rows that repeat a doc_id are one document and stay or go together.
     """
     gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_keys(docs, gone, "doc_id")
