@@ -7,20 +7,23 @@ be split further (many copies of one text) gets overflow pages, over which its r
 
 The index is a folder of bucket pages, each one file with a single row group, sorted by key; the file format gives
 a row group to one task only. An owner task walks its pages in key order and keeps a chain of the distinct texts of
-the present key; a row is compared with them byte by byte. The chain's links are named by a digest, so that pages of
-one bucket agree on names, and only names and lengths, not texts, go on from there.
+the present key; a row is compared with them byte by byte. The chain's links are named by their SHA-256, so that the
+pages of one bucket agree on names: bytes are compared within a page, and a group that is spread over overflow pages is
+joined by key and SHA-256 alone. Only names and lengths, not texts, go on from there.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, apart, column_names, in_batches, new_path, partitions, saved
+from .common import SPACE, apart, column_names, in_batches, new_path, partitions, saved, without_keys
 
 #: Bytes of normalised text that a bucket page is meant to hold.
 PAGE_BYTES = 32_000_000
@@ -31,42 +34,48 @@ BROADCAST_ENTRIES = 1 << 16
 
 
 class Directory:
-    """An extendible-hash directory over counts of bytes by the key's top bits."""
+    """An extendible-hash directory over counts of bytes by the key's top bits.
+
+    Split by split, level by level: a level's splits need one doubling of the entries at most, so that all of them take time
+    in proportion to the directory's final size. A bucket of depth d holds one value of the key's top d bits, hence a
+    run of the sorted counts and a run of entries.
+    """
 
     def __init__(self, sizes: dict[int, int], bits: int, page: int):
         """sizes: bytes for each value of the top `bits` bits that occurs."""
         self.bits, self.page, self.depth = bits, page, 0
-        self.entries = [0]
-        self.local = [0]  # depth of each bucket
-        self.held: list[dict[int, int]] = [sizes]
-        pending = [0]
-        while pending:
-            b = pending.pop()
-            if self.size(b) > page and self.local[b] < bits and len(self.held[b]) > 1:
-                pending += self.split(b)
+        keys = np.array(sorted(sizes), np.int64)
+        total = np.concatenate([[0], np.cumsum(np.array([sizes[k] for k in keys.tolist()], np.int64))])
+        self.entries = np.zeros(1, np.int64)
+        self.sizes, self.local = [int(total[-1])], [0]
+        rows = [(0, 0, 0, len(keys))]  # bucket, prefix, and its run of counts
+        while rows := [(b, p, i, j) for b, p, i, j in rows if self.sizes[b] > page and self.local[b] < bits and j - i > 1]:
+            self.entries = np.repeat(self.entries, 2)
+            self.depth += 1
+            after = []
+            for b, prefix, i, j in rows:
+                middle = int(np.searchsorted(keys[i:j], (2 * prefix + 1) << (bits - self.depth))) + i
+                new = len(self.sizes)
+                self.sizes[b], held = int(total[middle] - total[i]), int(total[j] - total[middle])
+                self.sizes.append(held)
+                self.local[b] = self.depth
+                self.local.append(self.depth)
+                self.entries[2 * prefix + 1] = new
+                after += [(b, 2 * prefix, i, middle), (new, 2 * prefix + 1, middle, j)]
+            rows = after
 
     def size(self, b: int) -> int:
-        return sum(self.held[b].values())
-
-    def split(self, b: int) -> tuple[int, int]:
-        if self.local[b] == self.depth:
-            self.entries = [e for e in self.entries for _ in (0, 1)]
-            self.depth += 1
-        self.local[b] += 1
-        shift = self.bits - self.local[b]
-        old, new = self.held[b], len(self.held)
-        self.held[b] = {k: v for k, v in old.items() if not k >> shift & 1}
-        self.held.append({k: v for k, v in old.items() if k >> shift & 1})
-        self.local.append(self.local[b])
-        turn = self.depth - self.local[b]
-        self.entries = [new if e == b and i >> turn & 1 else e for i, e in enumerate(self.entries)]
-        return b, new
+        return self.sizes[b]
 
     def pages(self, b: int) -> int:
-        return max(1, -(-self.size(b) // self.page))
+        return max(1, -(-self.sizes[b] // self.page))
 
-    def rows(self) -> list[tuple[int, int, int]]:
-        return [(i, b, self.pages(b)) for i, b in enumerate(self.entries)]
+    def rows(self) -> Iterator[tuple[int, int, int, int]]:
+        """(entry, bucket, number of its first page, its pages)."""
+        pages = np.array([self.pages(b) for b in range(len(self.sizes))], np.int64)
+        first = np.cumsum(pages) - pages
+        own = self.entries
+        return zip(range(len(own)), own.tolist(), first[own].tolist(), pages[own].tolist())
 
 
 def normalised(text: str = "text"):
@@ -98,17 +107,20 @@ def build_index(docs: DataFrame, page: int = PAGE_BYTES, bits: int | None = None
     spark = docs.sparkSession
     keyed = _keyed(docs)
     d = directory(keyed, page, bits)
-    table = spark.createDataFrame(d.rows(), "entry long, bucket long, pages long")
+    entries = list(zip(*d.rows()))
+    kinds = ["entry", "bucket", "first", "pages"]
+    table = spark.createDataFrame(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(kinds, entries)}))
     if len(d.entries) <= BROADCAST_ENTRIES:
         table = F.broadcast(table)
     entry = F.shiftrightunsigned("key", 64 - d.depth) if d.depth else F.lit(0).cast("long")
     placed = keyed.withColumn("entry", entry).join(table, "entry").select(
-        F.concat_ws("-", "bucket", F.pmod(F.xxhash64("doc_id", "points"), "pages")).alias("page"), "key", "doc_id", "points", "norm"
+        (F.col("first") + F.pmod(F.xxhash64("doc_id", "points"), "pages")).alias("page"), "key", "doc_id", "points", "norm"
     )
     folder = new_path(spark, "index")
-    n = max(partitions(spark), min(sum(d.pages(b) for b in range(len(d.held))), 20 * partitions(spark)))
-    # One row group for each file: only a page far beyond its size, a single enormous text, could have two.
-    placed.repartition(n, "page").sortWithinPartitions("page", "key").write.option("parquet.block.size", str(1 << 30)).partitionBy("page").parquet(folder)
+    n = max(partitions(spark), min(sum(map(d.pages, range(len(d.sizes)))), 20 * partitions(spark)))
+    # Pages are dealt in turn, so that no task gets several by chance. One row group for each file: only a page far beyond
+    # its size, a single enormous text, could have two.
+    placed.repartitionById(n, F.pmod("page", F.lit(n)).cast("int")).sortWithinPartitions("page", "key").write.option("parquet.block.size", str(1 << 30)).partitionBy("page").parquet(folder)
     return folder, d
 
 
@@ -136,7 +148,7 @@ def _owned(spark: SparkSession, folder: str) -> DataFrame:
             number += len(links)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("points"), rows, pa.array(links, pa.binary())], ["key", "doc_id", "points", "row", "link"])
 
-    kind = "page string, key long, doc_id long, points long, norm string"
+    kind = "page long, key long, doc_id long, points long, norm string"
     held = spark.read.schema(kind).parquet(folder)
     return in_batches(held.select("page", "key", "doc_id", "points", "norm"), run, "key long, doc_id long, points long, row long, link binary")
 
@@ -172,9 +184,9 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     rows = exact_duplicates(docs, **options)
     found = rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = found.filter("doc_id is not null and not kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = without_keys(docs, gone, "doc_id")
     again = found.filter("doc_id is not null and n > 1").select("doc_id")
     texts = rows.join(again, "doc_id", "left_semi").groupBy("doc_id", F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("kept"))
     named = left.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("__sha", F.sha2(normalised(), 256))
     one = named.join(texts.filter("not kept").select("doc_id", "__sha"), ["doc_id", "__sha"], "left_anti").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one)
+    return without_keys(left, again, "doc_id").union(one)
