@@ -150,10 +150,11 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame:
-    """Writes the documents' ids in ascending order of doc_id; the manifest (part, file, docs, ids) comes back.
+    """Writes the documents' ids in ascending order of doc_id; the manifest (part, n, file, docs, ids) comes back.
 
     The folder must be shared by all executors. Null ids come first; null texts count as empty. Equal doc_ids stay
-    side by side, in an order that the text decides.
+    side by side, in an order that the text decides. They may go to several tasks, since the text, and for equal rows
+    a number, are keys of the range partitioning too.
     """
 
     def run(batches):
@@ -172,7 +173,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataF
             with store.open_output_stream(f"{base}/_{name}.{task.taskAttemptId()}") as out:
                 out.write(data)
             store.move(f"{base}/_{name}.{task.taskAttemptId()}", f"{base}/{name}")
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": pa.array([name]), "docs": pa.array([len(names)], pa.int64()), "ids": pa.array([held], pa.int64())})
+            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([n], pa.int64()), "file": pa.array([name]), "docs": pa.array([len(names)], pa.int64()), "ids": pa.array([held], pa.int64())})
             flats.clear(), names.clear(), sizes.clear()
             held, n = 0, n + 1
             return row
@@ -197,8 +198,11 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> DataF
     spark = docs.sparkSession
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
-    placed = column_names(docs, "doc_id", "text").repartitionByRange(max(2, partitions(spark)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return saved(in_batches(placed, run, "part long, file string, docs long, ids long"), "manifest")
+    # A text's beginning and hash, not the text, are compared where partitions are cut: bounds come to the driver.
+    keyed = column_names(docs, "doc_id", "text").withColumn("begin", F.substring("text", 1, 32)).withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "begin", "hash", "number"]
+    placed = keyed.repartitionByRange(max(2, partitions(spark)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return saved(in_batches(placed, run, "part long, n long, file string, docs long, ids long"), "manifest")
 
 
 def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
@@ -211,7 +215,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     for part, n in manifest.groupBy("part").agg(F.sum("ids")).orderBy("part").collect():
         rows.append((part, before))
         before += n
-    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("inside", inside).join(spark.createDataFrame(rows, "part long, first long"), "part")
     table = files.select("file", (F.col("first") + F.col("inside")).alias("base")).repartition(max(1, manifest.count()))
 
