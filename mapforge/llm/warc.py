@@ -1,7 +1,9 @@
 """WARC archives with revisit resolution: equal payloads are stored once.
 
-Headers, not payloads, are shuffled by payload digest; the response of each group is the record with the largest
-page_id, and the others are joined to it and written as revisit records that refer to it. Archives are gzip files
+Headers (page_id, payload digest and size), not payloads, are shuffled by payload digest: the response of each group is the
+record with the largest page_id, and the headers of the others are joined to it. What was decided for a header goes
+to its payload by page_id, so that a payload that very many pages share is no hot key. Revisit records carry no payload
+and refer to the response. Archives are gzip files
 with one member for each record, at most FILE_BYTES of content each, with fresh headers: new record ids, dates, digests
 and lengths. A file is written under another name and moved, so a task that runs twice leaves one whole file.
 """
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_names, in_batches, new_path, saved
+from .common import apart, column_names, in_batches, left_by_key, new_path, saved
 
 #: Payloads below this many bytes are always stored, and bytes of content after which a task begins another archive.
 LEAST_BYTES, FILE_BYTES = 1000, 64_000_000
@@ -38,10 +40,17 @@ def resolve_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, payload_digest and refers_to, null for responses."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     headed = column_names(pages, "page_id", "url", "html").withColumn("payload_bytes", F.length(payload).cast("long")).withColumn("payload_digest", F.sha1(payload))
-    heads = headed.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    shared = heads.filter("n > 1 and response is not null").select("payload_digest", "payload_bytes", "response")
-    joined = headed.join(shared, ["payload_digest", "payload_bytes"], "left")
-    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    digest = ["payload_digest", "payload_bytes"]
+    headers = saved(headed.filter(F.col("payload_bytes") >= least).select("page_id", *digest), "headers")
+    shared = headers.groupBy(*digest).agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null")
+    shared = apart(shared.select(*digest, "response"), "shared")
+    # Equal headers share what is decided, and those without a page_id have a key of their own.
+    joined = headers.join(shared, digest).filter(~F.col("page_id").eqNullSafe(F.col("response")))
+    revisits = joined.groupBy("page_id", *digest).agg(F.max("response").alias("refers_to"))
+    key = [F.col("page_id").isNull().alias("__none"), F.coalesce("page_id", F.lit(0)).alias("__page"), F.col("payload_digest").alias("__digest")]
+    revisits = apart(revisits.select(*key, "refers_to"), "revisits")
+    keyed = headed.select("*", *key)
+    return keyed.join(revisits, ["__none", "__page", "__digest"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -165,7 +174,8 @@ def archived(pages: DataFrame, least: int = LEAST_BYTES, folder: str | None = No
     records = saved(records, "records")
     originals = records.filter("record_type = 'response'").join(records.filter("refers_id is not null").select(F.col("refers_id").alias("record_id")).distinct(), "record_id", "left_semi")
     named = originals.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
-    return records.join(named, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Most records are responses, which refer to nothing.
+    return left_by_key(records, apart(named, "originals"), "refers_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 __all__ = ["archived", "read_archives", "read_records", "record", "resolve_revisits", "write_archives"]
