@@ -9,8 +9,12 @@ path; the longest rule found for any of them wins.
 One sorted sweep over interval ends and questions finds for each question the innermost open rule. The stack of open
 rules is a table by depth: a running count of begun less ended rules is the depth, and the top of the stack after a
 rule ends is the last rule that began at the depth below. So each event knows the rule that is open after it, and a
-question takes that of the last event before it. Questions are dealt evenly over salts, with the events repeated for
-each: no key, host or interval can overfill a task, and nothing is broadcast.
+question takes that of the last event before it.
+
+A key's host is compared whole, so rules nest within one host only, and each rule host is swept by itself: urls whose
+suffixes have no rule are asked nothing. The questions of a host with many are dealt over salts in proportion to its
+share of all, with that host's own events repeated for each. A task holds the events of one rule host, and a part of the
+questions; only a single host's rules are never split.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_names, partitions
+from .common import apart, ascii_lower, column_names, partitions, saved
 
 #: Sorts behind every continuation of a prefix: no character of a url is beyond it.
 _AFTER = "\U0010ffff"
@@ -38,7 +42,7 @@ def reversed_host(labels: Column) -> Column:
 
 
 def _events(rules: DataFrame) -> DataFrame:
-    """(key, kind, open): begin (kind 0) and end (kind 2) of each rule, and the rule that is open after it."""
+    """(zone, key, kind, open): begin (kind 0) and end (kind 2) of each rule, and the rule that is open after it."""
     labels = F.split("host", r"\.")
     begin = F.concat(reversed_host(labels), F.lit("/"), F.col("path"))
     r = rules.select(F.col("rule"), F.col("action"), begin.alias("low"), F.struct("rule", "action", F.size(labels).alias("labels"), F.length("rule").alias("length")).alias("own"))
@@ -47,12 +51,12 @@ def _events(rules: DataFrame) -> DataFrame:
     ends = r.select(F.col("low").alias("key"), F.lit(0).alias("kind"), F.lit(1).alias("step"), "own").union(
         r.select(F.concat("low", F.lit(_AFTER)).alias("key"), F.lit(2), F.lit(-1), "own")
     )
-    # Everything under one top-level label nests apart from the rest.
-    top = ends.withColumn("zone", F.substring_index(F.substring_index("key", "/", 1), ".", 1))
+    # What is under one host nests apart from the rest.
+    top = ends.withColumn("zone", F.substring_index("key", "/", 1))
     swept = top.withColumn("depth", F.sum("step").over(Window.partitionBy("zone").orderBy("key", "kind").rowsBetween(_LAST, 0)))
     # A slot of the stack: begins at depth d, and ends that come back to it.
     slot = Window.partitionBy("zone", "depth").orderBy("key", "kind").rowsBetween(_LAST, 0)
-    return swept.withColumn("open", F.when(F.col("depth") > 0, F.last(F.when(F.col("step") == 1, F.col("own")), ignorenulls=True).over(slot))).select("key", "kind", "open")
+    return swept.withColumn("open", F.when(F.col("depth") > 0, F.last(F.when(F.col("step") == 1, F.col("own")), ignorenulls=True).over(slot))).select("zone", "key", "kind", "open")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
@@ -63,22 +67,30 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", sal
     empty host and path and fits no rule. Rows that repeat a page_id, or have none, are judged each by itself. Rules
     with a null part are left out; no rules give every page the default. Further columns are ignored.
     """
-    salts = salts or partitions(pages.sparkSession)
+    spark = pages.sparkSession
+    salts = salts or partitions(spark)
     known = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "action").filter("host is not null and path is not null and action is not null").withColumn("rule", F.concat("host", "path"))
-    deepest = known.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    deepest = known.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()[0] or 0
     host, path = url_parts(F.col("url"))
-    # A row's own number keeps rows apart that repeat a page_id.
+    # A row's own number keeps rows apart that repeat a page_id; it must be the same each time, so the rows are written.
     read = column_names(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
-    asked = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    asked = saved(read.withColumn("row", F.monotonically_increasing_id()), "asked")
     labels = F.split("host", r"\.")
     suffixes = F.when(F.col("host") == "", F.array()).otherwise(F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(deepest, 1)))), lambda n: F.slice(labels, -n, n)))
-    questions = asked.select("salt", "row", "page_id", "host", "path", F.explode_outer(suffixes).alias("suffix"))
-    questions = questions.select("salt", F.concat(reversed_host(F.col("suffix")), F.lit("/"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<rule:string,action:string,labels:int,length:int>").alias("open"), F.struct("row", "page_id", "host", "path").alias("asker"))
-    events = _events(known).select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", "kind", "open", F.lit(None).cast("struct<row:bigint,page_id:bigint,host:string,path:string>").alias("asker"))
+    questions = asked.select("row", "path", F.explode(suffixes).alias("suffix")).select("row", "path", reversed_host(F.col("suffix")).alias("zone"))
+
+    events = _events(known)
+    zones = events.select("zone").distinct()
+    counts = questions.join(zones, "zone").groupBy("zone").agg(F.count("*").alias("n"))
+    counts = apart(counts, "zones")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    dealt = counts.select("zone", F.ceil(F.col("n") * salts / max(total, 1)).cast("int").alias("salts"))
+    ask = questions.join(dealt, "zone").select("zone", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), F.concat("zone", F.lit("/"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("struct<rule:string,action:string,labels:int,length:int>").alias("open"), "row")
+    tell = events.join(dealt, "zone").select("zone", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "kind", "open", F.lit(None).cast("long").alias("row"))
     # An event that leaves no rule open still counts, so it is wrapped in a struct of its own.
-    sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(_LAST, 0)
-    both = questions.union(events).withColumn("event", F.when(F.col("kind") != 1, F.struct("open")))
-    found = both.withColumn("last", F.last("event", ignorenulls=True).over(sweep)).filter("kind = 1").select("salt", "asker", F.col("last.open").alias("rule"))
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct("rule.length", "rule.labels", "rule.rule", "rule.action")))
-    won = found.groupBy("salt", "asker.row", "asker.page_id", "asker.host", "asker.path").agg(best.alias("best"))
+    sweep = Window.partitionBy("zone", "salt").orderBy("key", "kind").rowsBetween(_LAST, 0)
+    both = ask.union(tell).withColumn("event", F.when(F.col("kind") != 1, F.struct("open")))
+    found = both.withColumn("last", F.last("event", ignorenulls=True).over(sweep)).filter("kind = 1 and last.open is not null").select("row", F.col("last.open").alias("rule"))
+    best = found.groupBy("row").agg(F.max(F.struct("rule.length", "rule.labels", "rule.rule", "rule.action")).alias("best"))
+    won = asked.join(best, "row", "left")
     return won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
