@@ -8,8 +8,9 @@ import re
 import numpy as np
 import pytest
 from fixtures import documents, empty, prose, rows
+from pyspark.sql import functions as F
 
-from mapforge.llm import components, exact, minhash, passages
+from mapforge.llm import common, components, exact, minhash, passages
 from mapforge.llm.shingles import WordHasher, as_bytes, shingle_sets, signatures
 
 
@@ -283,3 +284,114 @@ def test_removing_passages_keeps_the_rest(spark):
     assert left[40] == before[40] and left[41].split() == before[41].split()[:40] + before[41].split()[110:]
     assert 20 not in left and left[50] is None and left[60] == before[60]
     assert passages.removed_passages(docs).columns == docs.columns
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def in_earlier_documents(docs, least):
+    """Brute force: of each document, the words inside a run of `least` words that a smaller doc_id has as well."""
+    runs = {}
+    for d, w in docs.items():
+        for i in range(len(w) - least + 1):
+            runs.setdefault(tuple(w[i : i + least]), set()).add(d)
+    return {d: {j for i in range(len(w) - least + 1) if min(runs[tuple(w[i : i + least])]) < d for j in range(i, i + least)} for d, w in docs.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_passages_against_brute_force(spark, seed):
+    """Every word of an exact repeat of 50 words is found, periodic text and hubs' own repeats included; and what is found matches."""
+    rnd = random.Random(seed)
+    fresh = (f"w{i}" for i in range(10**6))
+    pool = [[next(fresh) for _ in range(rnd.randint(15, 90))] for _ in range(8)]
+    common = [next(fresh) for _ in range(6)]
+    docs = {}
+    for d in range(60):
+        w = []
+        for _ in range(rnd.randint(1, 6)):
+            kind = rnd.random()
+            if kind < 0.45:
+                w += rnd.choice(pool)
+            elif kind < 0.6:
+                w += ["round", "again"] * rnd.randint(5, 80)
+            elif kind < 0.7:
+                w += [rnd.choice(common) for _ in range(rnd.randint(5, 60))]
+            else:
+                w += [next(fresh) for _ in range(rnd.randint(1, 80))]
+        docs[d] = w
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    want = in_earlier_documents(docs, 50)
+    for d in docs:
+        assert want[d] <= found_words(got, d), d
+    for r in got:
+        assert r.source_id < r.doc_id and 0 <= r.start < r.stop <= len(docs[r.doc_id]) and r.passage_stop - r.passage_start >= 50
+        assert r.matched >= 0.8 * max(r.stop - r.start, r.source_stop - r.source_start)
+        assert lcs(docs[r.doc_id][r.start : r.stop], docs[r.source_id][r.source_start : r.source_stop]) >= r.matched
+
+
+def test_words_that_go_round_make_few_chains(spark):
+    """300 times the same two words match their source on 276 diagonals of 50 words; about one for each 50 words is left."""
+    p = ["round", "again"] * 300
+    df = spark.createDataFrame([(d, " ".join([f"a{d}", *p, f"b{d}"])) for d in range(5)], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    assert len(got) <= 4 * 16 and all(found_words(got, d) >= set(range(1, 601)) for d in range(1, 5))
+
+
+def test_covering_keeps_what_is_covered():
+    rnd = random.Random(4)
+    for _ in range(300):
+        n = rnd.randint(1, 12)
+        x, m = np.array([rnd.randrange(120) for _ in range(n)]), np.array([rnd.randrange(4, 40) for _ in range(n)])
+        keep, starts, ends = passages.covering(x, m, 15)
+        words = lambda at: {w for i in at for w in range(x[i], x[i] + m[i])}
+        long = [i for i in range(n) if m[i] >= 15]
+        assert words([i for i in keep if m[i] >= 15]) == words(long) == {w for a, b in zip(starts, ends) for w in range(a, b)}
+        assert {i for i in range(n) if m[i] < 15} <= set(keep.tolist())
+
+
+def test_removed_passages_with_columns_of_the_operators_names(spark):
+    p = " ".join(unique(60)[0])
+    rows = [(1, p, [1], "x", 1, "r"), (2, p + " more", [2], None, 2, "s"), (3, None, None, "z", 3, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<int>, row string, of int, `passage.start` string").select("*", F.array(F.lit(1)).alias("filled"))
+    out = passages.removed_passages(df)
+    assert out.columns == df.columns
+    assert {(r.doc_id, r.text, tuple(r.spans or ()), r.row, r.of) for r in out.collect()} == {(1, p, (1,), "x", 1), (2, "more", (2,), None, 2), (3, None, (), "z", 3)}
+
+
+def test_a_large_directory_is_made_at_once():
+    """2 ** 18 entries; splits take time in proportion to the entries, not to their square."""
+    d = exact.Directory({i: 10 for i in range(1 << 18)}, 18, 15)
+    assert d.depth == 18 and len(d.entries) == len(set(d.entries.tolist())) == 1 << 18
+    assert [b for _, b, _, _ in d.rows()] == d.entries.tolist()
+
+
+def largest_share(df):
+    """Rows of the fullest partition over the mean of all."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(n) / (sum(n) / df.rdd.getNumPartitions())
+
+
+def test_rows_without_a_key_are_dealt_evenly(spark):
+    """Joins that leave most rows alone: no partition has over twice the mean, although nothing is broadcast."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("-1", "false", "8")):
+            spark.conf.set(k, v)
+        left = common.saved(spark.range(8000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), F.col("id").alias("v")).repartition(4), "left")
+        right = spark.range(0, 8000, 10).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+        out = common.left_by_key(left, right, "k")
+        assert out.count() == 8000 and out.filter("w = k + 1").count() == 800 and out.filter("w is null").count() == 7200
+        assert largest_share(out) < 2
+        words = [f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(2000)]
+        docs = spark.createDataFrame([(i if i % 3 else None, words[i // 2 * 2] if i < 200 else w) for i, w in enumerate(words)], "doc_id long, text string")
+        assert largest_share(minhash.near_duplicates(docs)) < 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
