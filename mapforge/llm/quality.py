@@ -9,7 +9,8 @@ has one hidden layer; its logits are divided by a temperature that is fitted on
 did not learn from, which calibrates the probabilities.
 
 Only labels of the training fold are read, and of these at most `most` documents (those of the smallest hashes of
-doc_id), which is the documented bound of what the driver holds. Everything else covers all rows.
+doc_id) with at most `chars` characters in all, which are the documented bounds of what the driver holds: a document
+that would go beyond is passed over whole. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .shingles import as_bytes
 
 #: Dimensions of a vector's two halves, non-zero entries of an index vector, words on each side of a context.
 DIM, NONZERO, WINDOW = 64, 4, 2
-#: Training documents at most, and words that keep a context vector at most.
-SAMPLE, VOCABULARY = 3000, 20_000
+#: Training documents at most, characters of all of them at most, and words that keep a context vector at most.
+SAMPLE, SAMPLE_CHARS, VOCABULARY = 3000, 32_000_000, 20_000
 HIDDEN, EPOCHS, RATE, DECAY, SEED = 24, 160, 0.01, 1e-4, 3
 CACHE_WORDS = 100_000
 _CLASSES = bytes(b"A"[0] if 65 <= c <= 90 else b"a"[0] if 97 <= c <= 122 or c >= 128 else b"0"[0] if 48 <= c <= 57 else c for c in range(256))
@@ -133,6 +134,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
 
 
+def gradients(model: Model, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of the mean log loss and of DECAY / 2 times the squared weights, by w1, b1, w2 and b2; z are scaled inputs."""
+    h = np.tanh(z @ model.w1 + model.b1)
+    err = (1 / (1 + np.exp(-np.clip(h @ model.w2 + model.b2, -60, 60))) - y) / len(y)
+    back = np.outer(err, model.w2) * (1 - h * h)
+    return z.T @ back + DECAY * model.w1, back.sum(axis=0), h.T @ err + DECAY * model.w2, np.array([err.sum()])
+
+
 def train(texts: list, labels: np.ndarray, seed: int = SEED) -> Model:
     """Fits the network on four fifths of the rows and the temperature on the rest. With one class only, its share is the score."""
     raw = [as_bytes(t) for t in texts]
@@ -153,11 +162,7 @@ def train(texts: list, labels: np.ndarray, seed: int = SEED) -> Model:
     step = 0
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(fit), max(1, len(fit) // 128)):
-            z = (x[rows] - mean) / scale
-            h = np.tanh(z @ model.w1 + model.b1)
-            err = (1 / (1 + np.exp(-np.clip(h @ model.w2 + model.b2, -60, 60))) - y[rows]) / len(rows)
-            back = np.outer(err, model.w2) * (1 - h * h)
-            grads = (z.T @ back + DECAY * model.w1, back.sum(axis=0), h.T @ err + DECAY * model.w2, np.array([err.sum()]))
+            grads = gradients(model, (x[rows] - mean) / scale, y[rows])
             step += 1
             moves = []
             for g, s in zip(grads, state):  # Adam
@@ -182,13 +187,24 @@ def fold(doc_id: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, target: str = "quality") -> Model:
-    """A model of the labelled training rows. Of a doc_id that is labelled twice, the larger label counts."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS, target: str = "quality") -> Model:
+    """A model of the labelled training rows. Of a doc_id that is labelled twice, the larger label counts; of one with
+    several texts, the shortest."""
     known = labels.select("doc_id", F.col(target).alias("label")).filter("doc_id is not null and label is not null").filter(fold("doc_id") != 0)
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # At most `most` rows of two numbers, whatever the size of the labels.
-    rows = column_names(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
+    # At most `most` rows of two numbers, whatever the size of the labels; then as many of sizes and hashes, without texts.
+    found = column_names(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sized = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("hash"))).alias("t"))
+    held, kept = 0, []
+    for r in sorted(sized.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        if held + r.t.n <= chars:
+            held += r.t.n
+            kept.append((r.doc_id, r.t.hash))
+    if not kept:
+        return train([], np.zeros(0))
+    table = docs.sparkSession.createDataFrame(kept, "doc_id long, hash long")
+    texts = found.withColumn("hash", F.xxhash64("text")).join(F.broadcast(table), ["doc_id", "hash"]).groupBy("doc_id", "label").agg(F.first("text").alias("text"))
+    got = sorted(texts.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return train([r.text for r in got], np.array([int(r.label > 0) for r in got]))
 
 

@@ -9,11 +9,12 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from fixtures import documents, empty, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mapforge.llm import quality, rules, urls, warc
+from mapforge.llm import quality, queries, rules, urls, warc
 from mapforge.llm.queries import URL_RULES
 
 PAGES = "page_id long, url string, html string, host string, path string, rule string, payload_bytes string"
@@ -161,3 +162,126 @@ def test_temperature_calibrates():
     x = quality.Vectors(model.known).documents(["good " * 5, "bad " * 5])
     good, bad = model.scores(x)
     assert 0.65 < good < 0.95 and 0.05 < bad < 0.35
+
+
+def distances(rows_):
+    """Brute force of the two distances and the verdict: {row number: (kept, char distance, word distance)}."""
+    hist = []
+    for _, text, lang in rows_:
+        t = text or ""
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        upper, digits, marks = (len(regex.findall(p, t)) for p in (r"\p{Lu}", "[0-9]", r"[\p{P}\p{S}]"))
+        chars = sum(map(len, w))
+        kinds = [upper, digits, marks, len(t) - chars, max(0, chars - upper - digits - marks)]
+        listed = rules.COMMON_WORDS.get(lang)
+        counts = None
+        if listed:
+            n = [sum(x.lower() == c for x in w) for c in listed]
+            counts = [*n, len(w) - sum(n)]
+        hist.append((kinds, counts, len(t), len(w), base(t)[-1]))
+    refs = {}
+    for (_, _, lang), (kinds, counts, _, _, failed) in zip(rows_, hist):
+        if not failed:
+            k, c = refs.setdefault(lang, (np.zeros(5), np.zeros(13)))
+            k += kinds
+            c += counts or 0
+
+    def js(a, b):
+        if a is None or b is None or not sum(a) or not sum(b):
+            return None
+        p, q = np.array(a) / sum(a), np.array(b) / sum(b)
+        m = (p + q) / 2
+        return float(np.sqrt(max(0, sum(x * np.log2(x / y) for x, y in zip([*p, *q], [*m, *m]) if x > 0) / 2)))
+
+    out = []
+    for (_, _, lang), (kinds, counts, chars, n, failed) in zip(rows_, hist):
+        ref = refs.get(lang, (None, None))
+        a = js(kinds, ref[0]) if chars >= rules.LEAST_CHARS else None
+        b = js(counts, ref[1]) if n >= rules.LEAST_WORDS else None
+        out.append((not failed and not (a or 0) > rules.MOST_CHARS and not (b or 0) > rules.MOST_WORDS, a, b))
+    return out
+
+
+def test_verdicts_by_brute_force(spark):
+    """All columns of the query on the driver's smallest tables."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table]
+    got = {r.doc_id: r for r in queries.op10_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    near = lambda a, b: a is None and b is None or abs(a - b) < 1e-9
+    verdicts = distances(docs)
+    for (i, text, _), (kept, a, b) in zip(docs, verdicts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(text or "")
+        assert near(r.char_distance, a) and near(r.word_distance, b) and r.kept == kept
+    assert len({k for k, _, _ in verdicts}) == 2
+
+
+def test_slopes_of_the_network():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(5)
+    z, y = rng.normal(size=(9, 6)), rng.integers(0, 2, 9).astype(float)
+    m = quality.Model({}, np.zeros(6), np.ones(6), rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), 0.3, 1.0)
+
+    def loss():
+        out = np.tanh(z @ m.w1 + m.b1) @ m.w2 + m.b2
+        return np.mean(np.logaddexp(0, out) - y * out) + quality.DECAY / 2 * ((m.w1**2).sum() + (m.w2**2).sum())
+
+    w1, b1, w2, b2 = quality.gradients(m, z, y)
+    for name, slope in (("w1", w1), ("b1", b1), ("w2", w2)):
+        held = getattr(m, name)
+        for at in np.ndindex(held.shape):
+            was, step = held[at], 1e-6
+            held[at] = was + step
+            high = loss()
+            held[at] = was - step
+            low = loss()
+            held[at] = was
+            assert abs((high - low) / (2 * step) - slope[at]) < 1e-6, (name, at)
+    was, step = m.b2, 1e-6
+    m.b2 = was + step
+    high = loss()
+    m.b2 = was - step
+    assert abs((high - loss()) / (2 * step) - b2[0]) < 1e-6
+
+
+def test_word_vectors_by_brute_force():
+    texts = [b"the cat sat on the mat", b"The dog sat on the cat cat", b"x"]
+    words = [t.lower().split() for t in texts]
+    often = collections.Counter(w for ws in words for w in ws)
+    got = quality.contexts(texts, window=2)
+    assert set(got) == {w for w, n in often.items() if n > 1}
+    for w, v in got.items():
+        want = np.zeros(quality.DIM)
+        for ws in words:
+            for i, x in enumerate(ws):
+                if x == w:
+                    for j in range(max(0, i - 2), min(len(ws), i + 3)):
+                        if j != i and ws[j] in got:
+                            want += quality.index_vectors([ws[j]])[0]
+        assert np.allclose(v, want / max(np.linalg.norm(want), 1e-9), atol=1e-6)
+    docs = quality.Vectors(got).documents(["the cat sat", "", "cat unknown"])
+    own = quality.index_vectors([b"the", b"cat", b"sat"]).mean(axis=0)
+    assert np.allclose(docs[0, : quality.DIM], own, atol=1e-6) and not docs[1].any()
+    assert np.allclose(docs[0, quality.DIM : 2 * quality.DIM], (got[b"the"] + got[b"cat"] + got[b"sat"]) / 3, atol=1e-6)
+    assert np.allclose(docs[2, quality.DIM : 2 * quality.DIM], got[b"cat"] / 2, atol=1e-6)
+
+
+def test_the_sample_is_bounded_by_characters(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: held.append(texts))
+    df = spark.createDataFrame([(i, "word " * (10 if i % 2 else 5000)) for i in range(40)] * 2, "doc_id long, text string")
+    quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), chars=60_000)
+    assert len(held[0]) == len({*range(40)} - {i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 0} - {i for i in range(0, 40, 2)}) + sum(len(t) > 50 for t in held[0])
+    assert 25_000 <= sum(map(len, held[0])) <= 60_000
+
+
+def test_a_rule_host_with_most_urls_is_dealt_out(spark):
+    """A third of all urls on one host: its questions go to several tasks, and no others meet them."""
+    urls_ = [(i, f"http://a{i % 7}.hot.com/p/{i}" if i % 3 == 0 else f"http://h{i}.net/q/{i}") for i in range(3000)]
+    rules_ = spark.createDataFrame([("hot.com", "/p/", "block"), ("hot.com", "/p/3", "allow"), ("net", "/q/1", "block"), ("nowhere.org", "/", "block")], "host string, path string, action string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.url_verdicts(spark.createDataFrame(urls_, "page_id long, url string"), rules_, salts=16).collect()}
+    for i, u in urls_:
+        want = (("hot.com/p/3", "allow") if str(i).startswith("3") else ("hot.com/p/", "block")) if i % 3 == 0 else ("net/q/1", "block") if str(i).startswith("1") else (None, "allow")
+        assert got[i] == want, u

@@ -87,6 +87,20 @@ def test_packing_places_every_id_once(spark, length, most):
     assert len(sequences) <= 1.35 * math.ceil(sum(want.values()) / length) + 1
 
 
+def test_every_piece_has_its_documents_ids(spark):
+    """Checksums, starts and sizes of all pieces, by the library's ids of every document."""
+    want = collections.defaultdict(list)
+    for i, t, *_ in rows():
+        want[i].append(ids_of(t, BYTE, 0))
+    got = packing.pack(documents(spark).repartition(5), BYTE, length=48, most=3, payload="ids_crc32").collect()
+    covered = collections.Counter()
+    for r in got:
+        sums = {zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for ids in want[r.doc_id] if len(ids) == r.doc_tokens}
+        assert r.ids_crc32 in sums and 0 < r.length <= 48 and r.start + r.length <= r.doc_tokens
+        covered[r.doc_id] += r.length
+    assert covered == {i: sum(map(len, each)) for i, each in want.items()}
+
+
 def test_packing_merges_over_many_partitions(spark):
     docs = documents(spark).repartition(40)
     whole = packing.pack(docs, BYTE, payload="ids_crc32")
@@ -115,6 +129,21 @@ def test_a_cut_file_is_noticed():
         idfiles.IdFile.from_bytes(data[:-5])
 
 
+def test_files_are_read_in_the_order_of_their_numbers(spark, monkeypatch):
+    """More than ten thousand files of one part: file 10,000 comes after file 9,999."""
+    read = []
+    manifest = spark.createDataFrame([(0, n, f"ids-{0:06d}-{n:04d}.mfdac", 1, 2) for n in range(10_050)], "part long, n long, file string, docs long, ids long")
+    monkeypatch.setattr(idfiles, "in_batches", lambda df, run, schema: read.append(df) or df)
+    idfiles.read_ids(manifest, "nowhere")
+    assert {r.file: r.base for r in read[0].collect()} == {f"ids-000000-{n:04d}.mfdac": 2 * n for n in range(10_050)}
+
+
+def test_one_doc_id_goes_to_several_tasks(spark):
+    df = spark.createDataFrame([(None, f"text number {i}") for i in range(400)] + [(None, "the same")] * 400, "doc_id long, text string")
+    got = idfiles.with_crc32(idfiles.written_and_read(df, WORD)).collect()
+    assert len(got) == 800 and len({r.start for r in got}) == 800
+
+
 def test_written_and_read(spark, monkeypatch):
     monkeypatch.setattr(idfiles, "FILE_IDS", 500)
     got = idfiles.with_crc32(idfiles.written_and_read(documents(spark), WORD)).collect()
