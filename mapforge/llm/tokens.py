@@ -286,21 +286,25 @@ class Codec:
         # Vocabularies of words drop white space, so that their cuts need none.
         return [t.split() for t in raw] if self.kind == "words" else list(map(_CUTS.findall, raw))
 
-    def _join(self, left: list[int], right: list[int], apart: bool) -> list[int]:
-        """The cuts of a text from those of its two halves; apart says that white space is at the join."""
+    def _join(self, left: list[np.ndarray], right: list[np.ndarray], apart: bool) -> list[np.ndarray]:
+        """The cuts of a text, in pieces, from those of its two halves; apart says that white space is at the join."""
+        left, right = [p for p in left if len(p)], [p for p in right if len(p)]
         if not left or not right:
             return left or right
         self.joins += 1
         window, names = WINDOW_CUTS, self.known.names
         while True:
-            i, j = max(0, len(left) - window), min(len(right), window)
-            if self.kind == "words":
-                text = b" ".join(names[n] for n in left[i:]) + (b" " if apart else b"") + b" ".join(names[n] for n in right[:j])
-            else:
-                text = b"".join(names[n] for n in left[i:] + right[:j])
+            while len(left[-1]) <= window and len(left) > 1:
+                left = [*left[:-2], np.concatenate(left[-2:])]
+            while len(right[0]) <= window and len(right) > 1:
+                right = [np.concatenate(right[:2]), *right[2:]]
+            a, b = left[-1], right[0]
+            i, j = max(0, len(a) - window), min(len(b), window)
+            one, two = [names[n] for n in a[i:].tolist()], [names[n] for n in b[:j].tolist()]
+            text = b" ".join(one) + (b" " if apart else b"") + b" ".join(two) if self.kind == "words" else b"".join(one + two)
             mid = [self.known[c] for c in self._split([text])[0]]
-            if (i == 0 or mid[0] == left[i]) and (j == len(right) or mid[-1] == right[j - 1]):
-                return left[:i] + mid + right[j:]
+            if (i == 0 or mid[0] == a[i]) and (j == len(b) or mid[-1] == b[j - 1]):
+                return [*left[:-1], a[:i], np.array(mid, np.int64), b[j:], *right[1:]]
             self.grown += window == WINDOW_CUTS
             window *= 2
 
@@ -317,14 +321,14 @@ class Codec:
             begin = int(ends[first] - counts[first])
             parts.append(at[done:begin])
             done = int(ends[last[n] - 1])
-            level = [at[e - c : e].tolist() for e, c in zip(ends[first : last[n]].tolist(), counts[first : last[n]].tolist())]
+            level = [[at[e - c : e]] for e, c in zip(ends[first : last[n]].tolist(), counts[first : last[n]].tolist())]
             apart = [a[-1:] in SPACE or b[:1] in SPACE for a, b in zip(own, own[1:])]  # at each join
             step = 1
             while len(level) > 1:
                 level = [self._join(level[k], level[k + 1], apart[(k + 1) * step - 1]) for k in range(0, len(level), 2)]
                 step *= 2
-            parts.append(np.array(level[0], np.int64))
-            sizes[n] = len(level[0])
+            parts += level[0]
+            sizes[n] = sum(map(len, level[0]))
         return np.concatenate([*parts, at[done:]]), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
