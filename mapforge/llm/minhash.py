@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import apart, column_names, in_batches, left_by_key, pieces, saved, without_keys
 from .components import components
-from .shingles import WordHasher, mix, shingle_sets, signatures
+from .shingles import mix, shingle_sets, signatures
 
 SYMBOLS, CHUNK = 60, 5
 #: Largest distance that every pair is found for.
@@ -45,9 +45,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, sig): size, 128-bit fingerprint and signature of each document's shingle set."""
 
     def run(batches):
-        hasher = WordHasher()
         for part, texts in pieces(batches):
-            values, bounds = shingle_sets(texts, hasher)
+            values, bounds = shingle_sets(texts)
             sizes, sums = np.diff(bounds), fingerprints(values, bounds)
             sig = signatures(values, bounds, SYMBOLS)
             yield pa.RecordBatch.from_arrays(
@@ -110,9 +109,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles): the sorted shingle hashes of wanted classes (doc_id, real, f1, f2), from rows of the doc_id `real`."""
 
     def run(batches):
-        hasher = WordHasher()
         for part, texts in pieces(batches):
-            values, bounds = shingle_sets(texts, hasher)
+            values, bounds = shingle_sets(texts)
             f = fingerprints(values, bounds).view(np.int64)
             keep = (f[0] == np.asarray(part.column("f1"))) & (f[1] == np.asarray(part.column("f2")))
             sets = pa.array([values[i:j].tobytes() if k else None for i, j, k in zip(bounds[:-1], bounds[1:], keep)], pa.binary())

@@ -11,8 +11,8 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-#: Entries after which a word cache starts afresh, so that a worker's memory stays bounded.
-CACHE_WORDS = 400_000
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 64
 #: Hashed values that one pass of the signature kernel works on, so that they stay in a core's cache.
 BLOCK = 1 << 17
 
@@ -25,6 +25,10 @@ def _constants(n: int, seed: int) -> np.ndarray:
 
 
 _PLACE = _constants(64, 7)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Masks of the first 0 to 8 of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,32 +39,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """Maps words to 64-bit hashes and keeps those it has seen."""
-
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        digest = xxhash.xxh3_64_intdigest
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def as_bytes(text) -> bytes:
     return b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
 
 
-def word_hashes(texts: list, hasher: WordHasher, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, one after the other, and each text's number of words."""
-    split = [(as_bytes(t).lower() if lower else as_bytes(t)).split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    return hasher([w for words in split for w in words]), counts
+def word_hashes(texts: list, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, one after the other, and each text's number of words.
+
+    All words are hashed at once, eight bytes at a time; words of up to eight bytes and one length have different hashes.
+    """
+    raw = [as_bytes(t) for t in texts]
+    ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    joined = b" ".join([*raw, b"        "])  # each text is followed by white space, and each byte by seven more
+    if lower:
+        joined = joined.lower()
+    size = int(ends[-1]) if len(ends) else 0
+    white = _WHITE[np.frombuffer(joined, np.uint8, size)]
+    before = np.ones(size, bool)
+    before[1:] = white[:-1]
+    starts, stops = np.flatnonzero(~white & before), np.flatnonzero(white & ~before)
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+    lengths = stops - starts
+    eight = np.ndarray((size + 1,), "<u8", joined, strides=(1,))  # the eight bytes from each place on
+    out = mix(lengths.astype(np.uint64) * _STEP)
+    out = mix(out ^ (eight[starts] & _FIRST[np.minimum(lengths, 8)]))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : stops[i]])
+    rest, at = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD)), 8
+    while len(rest):
+        left = lengths[rest] - at
+        out[rest] = mix(out[rest] * _STEP + (eight[starts[rest] + at] & _FIRST[np.minimum(left, 8)]))
+        rest, at = rest[left > 8], at + 8
+    return out, counts
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -74,12 +84,12 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: list, hasher: WordHasher, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Each text's sorted distinct shingle hashes, one text after the other, and the bounds of each.
 
     A text of fewer than k words, but at least one, has its whole word sequence as its only shingle.
     """
-    words, counts = word_hashes(texts, hasher)
+    words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     rolled = windows(words, k)
     sets = []

@@ -8,10 +8,12 @@ import re
 import numpy as np
 import pytest
 from fixtures import documents, empty, prose, rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mapforge.llm import common, components, exact, minhash, passages
-from mapforge.llm.shingles import WordHasher, as_bytes, shingle_sets, signatures
+from mapforge.llm.shingles import as_bytes, shingle_sets, signatures, windows, word_hashes
 
 
 def near_brute(texts, percent=75):
@@ -72,7 +74,7 @@ def test_one_of_each_group_stays(spark):
 def test_signatures_agree_as_often_as_sets():
     rnd = random.Random(2)
     words = [str(rnd.random()) for _ in range(400)]
-    v, b = shingle_sets([" ".join(words), " ".join(words[100:])], WordHasher())
+    v, b = shingle_sets([" ".join(words), " ".join(words[100:])])
     sig = signatures(v, b, 2000)
     x, y = set(v[b[0] : b[1]].tolist()), set(v[b[1] : b[2]].tolist())
     assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.04
@@ -187,6 +189,25 @@ def test_winnowing_leaves_no_gap():
     assert passages.picked(h[:5], 12).tolist() == [int(h[:5].argmin())] and len(passages.picked(h[:0], 12)) == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=12), st.integers(1, 5), st.integers(1, 5), st.integers(2, 50))
+def test_winnowing_of_many_texts_is_that_of_each(counts, k, winnow, words):
+    hashes = np.random.default_rng(len(counts)).integers(1, words, sum(counts)).astype(np.uint64)
+    rolled = windows(hashes, k)
+    at, text = passages.picked_of_all(rolled, np.array(counts), k, winnow)
+    want, begin = [], 0
+    for i, n in enumerate(counts):
+        if n >= k:
+            want += [(int(a), i) for a in passages.picked(windows(hashes[begin : begin + n], k), winnow)]
+        begin += n
+    assert list(zip(at.tolist(), text.tolist())) == want
+    found = rolled[(np.cumsum(counts) - counts)[text] + at] if len(at) else rolled[:0]
+    first = {}
+    for h, t, a in zip(found.tolist(), text.tolist(), at.tolist()):
+        first.setdefault((t, h), a)
+    assert passages.since_first(found, text, at).tolist() == [a - first[t, h] for h, t, a in zip(found.tolist(), text.tolist(), at.tolist())]
+
+
 def test_runs_have_equal_hashes_when_their_words_are_equal():
     w = np.random.default_rng(1).integers(0, 2**64, 300, dtype=np.uint64)
     w[200:260] = w[20:80]
@@ -395,3 +416,13 @@ def test_rows_without_a_key_are_dealt_evenly(spark):
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aAbé \n\t\x0b\x1f\u00a0☃"), max_size=40) | st.sampled_from(["x" * 63, "X" * 64 + " " + "x" * 65, "x" * 200 + "y", " ", "a" * 8 + " " + "a" * 9]), max_size=6))
+def test_equal_words_have_equal_hashes_and_others_not(texts):
+    got, counts = word_hashes(texts)
+    words = [as_bytes(t).lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(got) == len(flat) and len(set(zip(flat, got.tolist()))) == len(set(flat)) == len(set(got.tolist()))
