@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .. import solvers
 from ..functions import angles, geometry, numeric, rounding, strings, units, wcs
 from ..operators import aggregates, deglitch, masks, order, pointing, projection, timeline
-from ..operators.algebra import Difference, Identity, Mask, Projection
+from ..operators.algebra import Diagonal, Difference, Identity, Mask, Projection
+from ..operators.storage import saved
 from ..sources import instrument
 from . import tables as T
 
@@ -726,7 +727,7 @@ def operator_projection_adjoint(spark, d):
 @query()
 def mapper_rls(spark, d):
     t = T.samples(spark, d).select("det", "t", F.when(F.col("masked"), 0.0).otherwise(F.col("value")).alias("value"))
-    got = solvers.mapper_rls(t, Projection(T.matrix(spark, d)), hyper=0.1, priors=[Difference([], "pixel")], tol=1e-3, most=6)
+    got = solvers.mapper_rls(t, Projection(saved(T.matrix(spark, d), "matrix")), hyper=0.1, priors=[Difference([], "pixel")], tol=1e-3, most=6)
     return got.x.select("pixel", r("value", 2).alias("value"))
 
 
@@ -734,10 +735,37 @@ def mapper_rls(spark, d):
 def mapper_nl(spark, d):
     t = T.samples(spark, d).select("det", "t", "value")
     x0 = spark.range(T.PIXELS).select(F.col("id").cast("int").alias("pixel"), F.lit(0.0).alias("value"))
-    got = solvers.mapper_nl(t, Projection(T.matrix(spark, d)), x0, tol=1e-3)
+    got = solvers.mapper_nl(t, Projection(saved(T.matrix(spark, d), "matrix")), x0, tol=1e-3)
     return got.x.select("pixel", r("value", 2).alias("value"))
 
 
+_SINGLE = f"{S} SELECT (part % {T.PIXELS})::INT AS pixel, round(sum(CASE WHEN masked THEN 0 ELSE quantity::FLOAT::DOUBLE * value END) / sum(power(quantity::FLOAT::DOUBLE, 2)), 3) AS value FROM s GROUP BY 1"
+
+
+def _least_squares(spark, d, solver):
+    """Of a matrix with one pixel for each sample, whose normal equations are diagonal; preconditioned with that diagonal."""
+    m = saved(T.matrix_single(spark, d), "matrix")
+    t = T.samples(spark, d).select("det", "t", F.when(F.col("masked"), 0.0).otherwise(F.col("value")).alias("value"))
+    hits = m.groupBy("pixel").agg((1 / F.sum(F.col("weight").cast("double") * F.col("weight").cast("double"))).alias("weight"))
+    got = solvers.mapper_ls(t, Projection(m), tol=1e-8, m=Diagonal(hits, ["pixel"]), solver=solver)
+    return got.x.select("pixel", r("value", 3).alias("value"))
+
+
+@query(_SINGLE)
+def mapper_ls(spark, d):
+    return _least_squares(spark, d, solvers.cg)
+
+
+@query(_SINGLE)
+def mapper_ls_cgs(spark, d):
+    return _least_squares(spark, d, solvers.cgs)
+
+
+@query(_SINGLE)
+def mapper_ls_bicgstab(spark, d):
+    return _least_squares(spark, d, solvers.bicgstab)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

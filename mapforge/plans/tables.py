@@ -46,6 +46,12 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 MATRIX = f"SELECT det, t, 0 AS k, (part % {PIXELS})::INT AS pixel, quantity::FLOAT AS weight FROM s UNION ALL SELECT det, t, 1, ((part + 1) % {PIXELS})::INT, (discount * 10)::FLOAT FROM s"
 
 
+def matrix_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(det, t, k, pixel, weight): one entry for each sample, with the quantity as weight."""
+    s = samples(spark, sf_dir)
+    return s.select("det", "t", F.lit(0).alias("k"), (F.col("part") % PIXELS).cast("int").alias("pixel"), F.col("quantity").cast("float").alias("weight"))
+
+
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pixel, value): mean price of a pixel's parts."""
     p = read(spark, sf_dir, "part")

@@ -84,6 +84,94 @@ def cg(a: LinearOp, b: DataFrame, x0: DataFrame | None = None, tol: float = 1e-5
     return Solution(best, n, math.sqrt(least), history)
 
 
+def _begin(a: LinearOp, b: DataFrame, x0: DataFrame | None, index: list[str]) -> tuple[DataFrame, DataFrame, float]:
+    """(x, r, |b|^2) that a solver of a general system starts from."""
+    b = saved(b.select(*index, "value"), "solver")
+    norm = dots([(b, b)], index)[0]
+    zero = b.select(*index, F.lit(0.0).alias("value"))
+    if x0 is None or norm == 0:
+        return zero, b, norm
+    x = saved(combine([(1.0, zero), (1.0, x0)], index), "solver")
+    return x, saved(combine([(1.0, b), (-1.0, a(x))], index), "solver"), norm
+
+
+def bicgstab(a: LinearOp, b: DataFrame, x0: DataFrame | None = None, tol: float = 1e-5, most: int = 300, m: LinearOp | None = None, index: list[str] = INDEX, callback: Callable[[int, float], None] | None = None) -> Solution:
+    """Stabilised bi-conjugate gradients for any square operator, preconditioned from the right. Stops and returns like cg()."""
+    m = m or Identity()
+    x, r, norm = _begin(a, b, x0, index)
+    if norm == 0:
+        return Solution(x, 0, 0.0)
+    shadow, p, v = r, None, None
+    rho = alpha = omega = 1.0
+    error = dots([(r, r)], index)[0] / norm
+    best, least, history, n = x, error, [error], 0
+    while n < most and error > tol * tol and omega != 0:
+        old, rho = rho, dots([(shadow, r)], index)[0]
+        if rho == 0:
+            break
+        beta = rho / old * alpha / omega
+        p = r if p is None else saved(combine([(1.0, r), (beta, p), (-beta * omega, v)], index), "solver")
+        y = p if isinstance(m, Identity) else saved(m(p), "solver")
+        v = saved(a(y), "solver")
+        seen = dots([(shadow, v)], index)[0]
+        if seen == 0:
+            break
+        n += 1
+        alpha = rho / seen
+        s = saved(combine([(1.0, r), (-alpha, v)], index), "solver")
+        z = s if isinstance(m, Identity) else saved(m(s), "solver")
+        t = saved(a(z), "solver")
+        tt, ts = dots([(t, t), (t, s)], index)
+        omega = ts / tt if tt else 0.0
+        x = saved(combine([(1.0, x), (alpha, y), (omega, z)], index), "solver")
+        r = saved(combine([(1.0, s), (-omega, t)], index), "solver")
+        error = dots([(r, r)], index)[0] / norm
+        history.append(error)
+        if callback:
+            callback(n, error)
+        if error < least:
+            best, least = x, error
+    return Solution(best, n, math.sqrt(least), history)
+
+
+def cgs(a: LinearOp, b: DataFrame, x0: DataFrame | None = None, tol: float = 1e-5, most: int = 300, m: LinearOp | None = None, index: list[str] = INDEX, callback: Callable[[int, float], None] | None = None) -> Solution:
+    """Conjugate gradients squared for any square operator, preconditioned from the right. Stops and returns like cg()."""
+    m = m or Identity()
+    x, r, norm = _begin(a, b, x0, index)
+    if norm == 0:
+        return Solution(x, 0, 0.0)
+    shadow, p, q, rho = r, None, None, 1.0
+    error = dots([(r, r)], index)[0] / norm
+    best, least, history, n = x, error, [error], 0
+    while n < most and error > tol * tol:
+        old, rho = rho, dots([(shadow, r)], index)[0]
+        if rho == 0:
+            break
+        if p is None:
+            u = p = r
+        else:
+            beta = rho / old
+            u = saved(combine([(1.0, r), (beta, q)], index), "solver")
+            p = saved(combine([(1.0, u), (beta, q), (beta * beta, p)], index), "solver")
+        v = saved(a(m(p)), "solver")
+        seen = dots([(shadow, v)], index)[0]
+        if seen == 0:
+            break
+        n += 1
+        alpha = rho / seen
+        q = saved(combine([(1.0, u), (-alpha, v)], index), "solver")
+        z = saved(m(combine([(1.0, u), (1.0, q)], index)), "solver")
+        x = saved(combine([(1.0, x), (alpha, z)], index), "solver")
+        r = saved(combine([(1.0, r), (-alpha, a(z))], index), "solver")
+        error = dots([(r, r)], index)[0] / norm
+        history.append(error)
+        if callback:
+            callback(n, error)
+        if error < least:
+            best, least = x, error
+    return Solution(best, n, math.sqrt(least), history)
+
+
 # Functions with derivatives
 
 
@@ -247,10 +335,10 @@ def mapper_ls(tod: DataFrame, h: LinearOp, invntt: LinearOp | None = None, **opt
     return mapper_rls(tod, h, invntt, hyper=0.0, **options)
 
 
-def mapper_rls(tod: DataFrame, h: LinearOp, invntt: LinearOp | None = None, hyper: float = 1.0, priors: list[LinearOp] | None = None, x0: DataFrame | None = None, tol: float = 1e-5, most: int = 300, m: LinearOp | None = None, unpacking: LinearOp | None = None, index: list[str] = INDEX, callback=None) -> Solution:
+def mapper_rls(tod: DataFrame, h: LinearOp, invntt: LinearOp | None = None, hyper: float = 1.0, priors: list[LinearOp] | None = None, x0: DataFrame | None = None, tol: float = 1e-5, most: int = 300, m: LinearOp | None = None, unpacking: LinearOp | None = None, index: list[str] = INDEX, callback=None, solver: Callable[..., Solution] = cg) -> Solution:
     """Regularised least squares: (H^T N^-1 H + sum of hyper * n_tod / n_map * D^T D) x = H^T N^-1 y by conjugate gradients.
 
-    tod has its sample columns and value, masked samples at 0. Values that are not finite are an error.
+    tod has its sample columns and value, masked samples at 0. Values that are not finite are an error. solver is cg, cgs or bicgstab.
     """
     n = invntt or Identity()
     b = saved((h.T @ n)(tod.select(*[c for c in tod.columns if c != "masked"])), "rls")
@@ -261,7 +349,7 @@ def mapper_rls(tod: DataFrame, h: LinearOp, invntt: LinearOp | None = None, hype
         scale = hyper * tod.count() / max(b.count(), 1)
         for d in priors:
             a = a + (d.T @ d) * scale
-    got = cg(a, b, x0, tol, most, m, index, callback)
+    got = solver(a, b, x0, tol, most, m, index, callback)
     return Solution(unpacking(got.x), got.iterations, got.error, got.history) if unpacking else got
 
 

@@ -93,6 +93,21 @@ def test_cg_edges(spark):
     assert got.iterations == 0 and sorted(r.value for r in got.x.collect()) == [0.5, 1.0]
 
 
+@pytest.mark.parametrize("solver", [solvers.cgs, solvers.bicgstab])
+def test_solvers_of_general_systems(spark, small, solver):
+    m, h = small
+    rows = np.linspace(0.5, 2, 8)  # scaled rows: not symmetric
+    a = algebra.Diagonal(spark.createDataFrame([(i, float(v)) for i, v in enumerate(rows)], "pixel int, weight double"), ["pixel"]) @ algebra.Projection(m).T @ algebra.Projection(m)
+    n = rows[:, None] * (h.T @ h)
+    near = algebra.Diagonal(spark.createDataFrame([(i, float(1 / v)) for i, v in enumerate(np.diag(n))], "pixel int, weight double"), ["pixel"])
+    b, told = n @ np.arange(8.0), []
+    got = solver(a, vec(spark, b), tol=1e-6, most=24, m=near, callback=lambda k, e: told.append(k))
+    x = {r.pixel: r.value for r in got.x.collect()}
+    assert np.allclose([x[i] for i in range(8)], np.arange(8.0), atol=1e-3) and told == list(range(1, got.iterations + 1))
+    assert solver(a, vec(spark, np.zeros(8))).iterations == 0
+    assert solver(a, vec(spark, b), x0=vec(spark, np.arange(8.0))).iterations == 0
+
+
 @pytest.mark.parametrize("search", ["armijo", "wolfe"])
 def test_line_searches_go_down(spark, search):
     f = solvers.NormOf(algebra.Identity(), vec(spark, [1, 2]), norm2, norm2_gradient)
