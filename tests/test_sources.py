@@ -121,6 +121,48 @@ def test_configuration(spark, tmp_path):
         pipeline.typed("maybe", bool)
 
 
+def test_from_frames_to_a_map(spark, tmp_path):
+    """Two slices of 512 detectors: the naive map is the dense back-projection's ratio, written as an image."""
+    rng = np.random.default_rng(5)
+    names = []
+    for s in range(2):
+        n = 6
+        signal, mask = rng.normal(10, 1, (16, 32, n)), rng.uniform(size=(16, 32, n)) < 0.1
+        status = {"BBID": np.full(n, 0xCD2 << 16, np.int64), "FINETIME": (np.arange(n) * 100_000).astype(np.int64), "RaArray": 30 + np.arange(n) / 3600 * 4, "DecArray": np.full(n, 20 + s * 3 / 3600), "PaArray": np.zeros(n), "CHOPFPUANGLE": np.zeros(n)}
+        names.append(str(tmp_path / f"f{s}.fits"))
+        fits.write_bytes(spark, names[-1], observation.frames_bytes(signal, status, {"GLITCH": mask}))
+    text = f"[main]\nfiles = {','.join(names)}\nband = red\nsize = 6.4\noutput = {tmp_path}/map.fits\n[projection]\nresolution = 6.4\nmethod = nearest\n[mapper]\nkind = "
+    naive = {r.pixel: r for r in pipeline.run(spark, pipeline.read_config(text + "naive")).collect()}
+    tod, matrix, wcs = pipeline.observed(spark, names, "red", 6.4, 6.4, "nearest")
+    y = {(r.slice, r.det, r.t): r for r in tod.collect()}
+    sums = {}
+    for e in matrix.collect():
+        v = y[e.slice, e.det, e.t]
+        a = sums.setdefault(e.pixel, [0.0, 0.0])
+        if not v.masked:
+            a[0], a[1] = a[0] + e.weight * v.value, a[1] + e.weight
+    assert len(y) == 2 * 512 * 6 and {p for p, a in sums.items() if a[1]} == {p for p, r in naive.items() if r.coverage}
+    for p, (a, b) in sums.items():
+        if b:
+            assert abs(naive[p].value - a / b) < 1e-6 and abs(naive[p].coverage - b) < 1e-3
+    got = {r.i: r.value for r in fits.read_image(spark, str(tmp_path / "map.fits")).collect()}
+    assert len(got) == wcs.naxis[0] * wcs.naxis[1] and all(abs(got[p] - r.value) < 1e-9 for p, r in naive.items() if r.coverage)
+    with pytest.raises(ValueError):
+        pipeline.run(spark, pipeline.read_config(text + "other"))
+
+
+def test_compressed_maps(spark):
+    rows = [(d, t, float(d + t), t == 3 and d == 0) for d in range(2) for t in range(4)]
+    tod = spark.createDataFrame(rows, "det int, t long, value double, masked boolean")
+    matrix = spark.createDataFrame([(d, t, 0, t // 2, 1.0) for d in range(2) for t in range(4)], "det int, t long, k int, pixel int, weight double")
+    y, sky, share = pipeline.maps(tod, matrix, 2)
+    assert sorted((r.det, r.t, r.value, r.masked) for r in y.collect()) == [(0, 0, 0.5, False), (0, 1, 2.5, True), (1, 0, 1.5, False), (1, 1, 3.5, False)]
+    assert sorted((r.pixel, r.value, r.coverage) for r in sky.collect()) == [(0, 1.0, 2.0), (1, 3.5, 1.0)]
+    assert sorted((r.pixel, r.value) for r in share.collect()) == [(0, 0.0), (1, 0.5)]
+    with pytest.raises(ValueError):
+        pipeline.maps(tod, matrix, 3)
+
+
 def test_streams(spark, tmp_path):
     rows = [(i % 2, 1.0, float(i), i == 3) for i in range(6)]
     spark.createDataFrame(rows, "pixel int, weight double, value double, masked boolean").write.parquet(str(tmp_path / "in"))
