@@ -38,10 +38,12 @@ def back_project_weight(matrix: DataFrame, tod: DataFrame, sample: list[str] = S
 
 
 def normal_matrix(matrix: DataFrame, sample: list[str] = SAMPLE) -> DataFrame:
-    """(i, j, value): P^T P, from pairs of entries of one sample; a sample has few of them."""
-    a = matrix.select(*sample, F.col("pixel").alias("i"), F.col("weight").cast("double").alias("wi"))
-    b = matrix.select(*sample, F.col("pixel").alias("j"), F.col("weight").cast("double").alias("wj"))
-    return a.join(b, sample).groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("value"))
+    """(i, j, value): P^T P, from pairs of entries of one sample; a sample has few of them, which one shuffle brings together."""
+    entries = F.collect_list(F.struct(F.col("pixel").alias("p"), F.col("weight").cast("double").alias("w")))
+    pair = lambda a, b: F.struct(a["p"].alias("i"), b["p"].alias("j"), (a["w"] * b["w"]).alias("w"))
+    pairs = F.flatten(F.transform("e", lambda a: F.transform("e", lambda b: pair(a, b))))
+    each = matrix.groupBy(*sample).agg(entries.alias("e")).select(F.inline(pairs))
+    return each.groupBy("i", "j").agg(F.sum("w").alias("value"))
 
 
 def unobserved(matrix: DataFrame, npixels: int) -> DataFrame:

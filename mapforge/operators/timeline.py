@@ -6,6 +6,8 @@ Each operator with an adjoint has it beside it. A timeline is one group: its mem
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -256,11 +258,21 @@ def by_timeline(df: DataFrame, keys: list[str], order: str, columns: dict[str, s
     return df.groupBy(*keys).applyInArrow(run, schema).select(*df.columns, *[c for c in columns if c not in df.columns])
 
 
-def sliding_lower_median(x: np.ndarray, good: np.ndarray, length: int) -> np.ndarray:
-    """Lower medians of the windows of one timeline, NaN where a window is empty; a sorted list follows the window."""
-    import bisect
+#: Longest window whose values are laid side by side for numpy; a sorted list follows longer ones. Both give the same medians.
+SIDE_BY_SIDE = 64
 
+
+def sliding_lower_median(x: np.ndarray, good: np.ndarray, length: int) -> np.ndarray:
+    """Lower medians of the windows of one timeline, NaN where a window is empty."""
     n, before, after = len(x), (length - 1) // 2, length // 2
+    if length <= SIDE_BY_SIDE:
+        padded = np.concatenate([np.full(before, np.inf), np.where(good, x, np.inf), np.full(after, np.inf)])
+        sizes = np.convolve(np.concatenate([np.zeros(before, int), good.astype(int), np.zeros(after, int)]), np.ones(length, int), "valid")
+        out, windows = np.empty(n), np.lib.stride_tricks.sliding_window_view(padded, length)
+        for at in range(0, n, 1 << 15):
+            held, size = np.sort(windows[at : at + (1 << 15)], axis=1), sizes[at : at + (1 << 15)]
+            out[at : at + len(held)] = np.where(size > 0, held[np.arange(len(held)), np.maximum(size - 1, 0) // 2], np.nan)
+        return out
     out, held, values, ok = np.full(n, np.nan), [], x.tolist(), good.tolist()
     for i in range(-after, n):
         j, k = i + after, i - before - 1
@@ -322,24 +334,30 @@ def _decay(tau: float) -> float:
     return float(np.exp(-1.0 / tau))
 
 
+def decaying_sum(x: np.ndarray, w: float) -> np.ndarray:
+    """y[i] = w y[i - 1] + x[i], in log2(n) passes that each double the terms; from a value that isn't finite on, no sum is."""
+    fine = np.isfinite(x)
+    y, s = np.where(fine, x, 0.0), 1
+    while s < len(y) and w**s > 0:
+        y[s:] += w**s * y[:-s]
+        s *= 2
+    return y if fine.all() else y + np.cumsum(np.where(fine, 0.0, x))
+
+
 def exponential(x: np.ndarray, tau: float) -> np.ndarray:
     """y[0] = x[0], y[i] = w y[i - 1] + (1 - w) x[i] with w = exp(-1 / tau); zeros for tau <= 0 or NaN."""
     if not tau > 0:
         return np.zeros(len(x))
-    w, out, last = _decay(tau), np.empty(len(x)), 0.0
-    for i, v in enumerate(x.tolist()):
-        last = v if i == 0 else w * last + (1 - w) * v
-        out[i] = last
-    return out
+    w = _decay(tau)
+    return decaying_sum(np.concatenate([x[:1], (1 - w) * x[1:]]), w)
 
 
 def exponential_adjoint(y: np.ndarray, tau: float) -> np.ndarray:
     if not tau > 0:
         return np.zeros(len(y))
-    w, out, last = _decay(tau), np.empty(len(y)), 0.0
-    for i in range(len(y) - 1, -1, -1):
-        last = w * last + y[i]
-        out[i] = last if i == 0 else (1 - w) * last
+    w = _decay(tau)
+    out = decaying_sum(y[::-1], w)[::-1].copy()
+    out[1:] *= 1 - w
     return out
 
 

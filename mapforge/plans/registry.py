@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import solvers
-from ..functions import angles, geometry, numeric, rounding, strings, units, wcs
+from ..functions import angles, equality, geometry, numeric, rounding, strings, units, wcs
 from ..operators import aggregates, deglitch, masks, order, pointing, projection, timeline
 from ..operators.algebra import Diagonal, Difference, Identity, Mask, Projection
 from ..operators.storage import saved
@@ -549,6 +549,16 @@ def eq_real(spark, d):
     return c.select(F.col("c_custkey").alias("id"), numeric.close(F.col("c_acctbal"), F.col("c_acctbal") * (1 + apart), 1e-9).alias("same"))
 
 
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE vec_id % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 5e-15::DOUBLE ELSE 1e-12::DOUBLE END AS d FROM embeddings)
+    SELECT vec_id AS id, coalesce(list_bool_and(list_transform(e, lambda v: abs(v - v * (1 + d)) <= 1e-14::DOUBLE * greatest(abs(v), abs(v * (1 + d))))), true) AS same FROM x""")
+def all_eq(spark, d):
+    """Arrays against arrays that are moved by nothing, by less and by more than the tolerance."""
+    n = F.col("vec_id") % 3
+    e = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("a"), F.when(n == 0, 0.0).when(n == 1, 5e-15).otherwise(1e-12).alias("d"))
+    moved = F.transform("a", lambda v: v * (1 + F.col("d")))
+    return e.select("id", equality.all_eq(F.col("a"), moved, e.schema["a"].dataType).alias("same"))
+
+
 @query("SELECT r_regionkey AS id, i::INT AS i, round(1 + i * 0.25::DOUBLE, 6) AS lin, round(exp(ln(1) + i * (ln(16) - ln(1)) / 4), 6) AS log FROM region, range(5) g(i)")
 def grids(spark, d):
     g = T.read(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.posexplode(F.arrays_zip(numeric.linspace(1, 2, 5).alias("lin"), numeric.logspace(1, 16, 5).alias("log"))).alias("i", "z"))

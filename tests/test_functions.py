@@ -158,3 +158,20 @@ def test_histogram_and_profile(spark):
     g = spark.createDataFrame([(0.0, 0.5, 2.0), (0.0, 2.5, 4.0)], "x double, y double, v double")
     got = aggregates.radial_profile(g, "x", "y", (0.0, 0.0), 1.0, "v", 3).orderBy("bin").collect()
     same([got[0].r, got[0].value, got[1].r, got[1].value, got[2].value], [0.5, 2, 1.5, math.nan, 4])
+
+
+def test_structural_equality(spark):
+    from mapforge.functions import equality
+
+    kind = "id int, x double, l array<struct<p:float,q:string>>, m map<string,double>"
+    rows = [(1, 1.0, [(1.0, "a"), (None, None)], {"k": 2.0, "j": 3.0}), (2, float("nan"), [], None), (None, None, None, {})]
+    a = spark.createDataFrame(rows, kind)
+    equality.assert_all_eq(a, spark.createDataFrame([(1, 1.0 + 1e-15, [(1.0 + 1e-9, "a"), (None, None)], {"j": 3.0, "k": 2.0}), *rows[1:]], kind).repartition(3), ["id"])
+    other = spark.createDataFrame([(1, 1.0 + 1e-13, [(1.0, "a")], {"k": 2.0, "i": 3.0}), (2, None, None, None), (3, 1.0, [], {})], kind)
+    got = {r.id: r["columns"] for r in equality.differences(a, other, ["id"]).collect()}
+    assert got == {1: ["x", "l", "m"], 2: ["x", "l"], 3: None, None: None}
+    assert {r.id: r["columns"] for r in equality.differences(a, other, ["id"], 1e-6).collect()}[1] == ["l", "m"]
+    with pytest.raises(AssertionError):
+        equality.assert_all_eq(a, other, ["id"])
+    with pytest.raises(ValueError):
+        equality.differences(a, other.drop("m"), ["id"])

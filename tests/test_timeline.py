@@ -123,3 +123,29 @@ def test_inverse_noise_is_symmetric_and_scaled(spark):
     assert np.allclose(m, m.T)
     root = dense(lambda d: T.inverse_noise(d, f, KEY, "t", "value", root=True), 3, 3, spark)
     assert np.linalg.eigvalsh(m).max() <= 1 + 1e-12 and root.trace() > m.trace() * 0.5
+
+
+@pytest.mark.parametrize("length", [1, 2, 9, 10, 63, 64])
+def test_windows_side_by_side(monkeypatch, length):
+    """Both ways of sliding medians agree, masked and repeated values included."""
+    rng = np.random.default_rng(length)
+    x, good = np.round(rng.normal(size=300), 1), rng.uniform(size=300) < 0.3
+    fast = T.sliding_lower_median(x, good, length)
+    monkeypatch.setattr(T, "SIDE_BY_SIDE", 0)
+    assert np.array_equal(fast, T.sliding_lower_median(x, good, length), equal_nan=True)
+
+
+@pytest.mark.parametrize("tau", [0.01, 2.0, 1e4, np.inf])
+def test_decaying_sums(tau):
+    x = np.random.default_rng(1).normal(size=1000)
+    w, y, last = np.exp(-1 / tau), np.zeros(1000), 0.0
+    for i, v in enumerate(x):
+        last = v if i == 0 else w * last + (1 - w) * v
+        y[i] = last
+    assert np.allclose(T.exponential(x, tau), y, rtol=1e-10, atol=1e-12)
+    a, b = np.random.default_rng(2).normal(size=(2, 50))
+    assert abs(T.exponential(a, tau) @ b - a @ T.exponential_adjoint(b, tau)) < 1e-10
+    assert len(T.exponential(x[:0], tau)) == 0
+    x[500] = np.inf
+    got = T.exponential(x, 2.0)
+    assert np.isfinite(got[:500]).all() and np.isinf(got[500:]).all()
