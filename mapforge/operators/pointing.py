@@ -20,7 +20,8 @@ def position_at(pointing: DataFrame, times: DataFrame, keys: list[str] = ["slice
     """Pointings at other times by straight lines between samples; up to one step beyond either end, NaN further out.
 
     An as-of join without a range condition over all pairs: both sides are dealt by blocks of time, sorted within a
-    block, and the bracket is carried along; the last sample before a block is repeated in it.
+    block, and the bracket is carried along; the last sample before a block is repeated in it. A time on a sample lies in the
+    bracket that begins there, so that each asked row, repeated ones too, comes out once.
     """
     w = Window.partitionBy(*keys).orderBy(time)
     cols = [time, *columns]
@@ -32,19 +33,17 @@ def position_at(pointing: DataFrame, times: DataFrame, keys: list[str] = ["slice
     step = F.col("b")[time] - F.col("a")[time]
     first, last = F.col("z").isNull(), F.col("b").isNull()
     brackets = p.filter(~last).withColumn("low", F.when(first, F.col("a")[time] - step).otherwise(F.col("a")[time]))
-    ending = p.filter(last & ~first).select(*keys, F.col("z").alias("a"), F.col("a").alias("b"), F.col("a")[time].alias("low"), (2 * F.col("a")[time] - F.col("z")[time]).alias("high"))
-    brackets = brackets.select(*keys, "a", "b", "low", F.col("b")[time].alias("high")).union(ending)
+    ending = p.filter(last & ~first).select(*keys, F.col("z").alias("a"), F.col("a").alias("b"), F.col("a")[time].alias("low"), (2 * F.col("a")[time] - F.col("z")[time]).alias("high"), F.lit(True).alias("closed"))
+    brackets = brackets.select(*keys, "a", "b", "low", F.col("b")[time].alias("high"), F.lit(False).alias("closed")).union(ending)
     slots = brackets.select("*", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))).alias("__s"))
     asked = times.withColumn("__s", F.floor(F.col(time) / bucket))
     q, s = asked.alias("q"), slots.alias("s")
-    inside = (F.col(f"q.{time}") >= F.col("s.low")) & ((F.col(f"q.{time}") < F.col("s.high")) | (F.col(f"q.{time}") == F.col("s.high")))
+    inside = (F.col(f"q.{time}") >= F.col("s.low")) & ((F.col(f"q.{time}") < F.col("s.high")) | (F.col("s.closed") & (F.col(f"q.{time}") == F.col("s.high"))))
     on = [F.col(f"q.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("q.__s") == F.col("s.__s"), inside]
     joined = q.join(s, on, "left").select(*[F.col(f"q.{c}") for c in times.columns], F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     share = (F.col(time) - F.col("a")[time]) / (F.col("b")[time] - F.col("a")[time])
     lines = [F.coalesce(F.col("a")[c] + (F.col("b")[c] - F.col("a")[c]) * share, F.lit(float("nan"))).alias(c) for c in columns]
-    # A time on a sample lies in two brackets, which agree there.
-    out = joined.select(*times.columns, *lines)
-    return out.dropDuplicates([*keys, time]) if set(times.columns) <= {*keys, time} else out.dropDuplicates(times.columns)
+    return joined.select(*times.columns, *lines)
 
 
 def position_fine(pointing: DataFrame, factor: int, keys: list[str] = ["slice"], order: str = "t", columns: list[str] = COORDINATES, offset: float = 0.0) -> DataFrame:

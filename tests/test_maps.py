@@ -183,3 +183,12 @@ def test_overlaps_are_those_of_one_pixel_after_the_other():
         got = dict(geometry.overlaps(x, y, 10, 10)[0])
         for p in range(100):
             assert abs(got.get(p, 0) - abs(geometry.clipped_area(x, y, p % 10 + 0.5, p // 10 + 0.5))) < 1e-12
+
+
+def test_positions_of_repeated_times(spark):
+    p = spark.createDataFrame([(0, 60.0 + i, float(i * i), 0.0, 0.0, 0.0) for i in range(8)], "slice int, time double, ra double, dec double, pa double, chop double")
+    asked = [59.0, 60.0, 61.0, 61.0, 63.5, 64.0, 64.0, 64.0, 67.0, 68.0, 68.5]
+    got = sorted((r.time, r.ra) for r in pointing.position_at(p, spark.createDataFrame([(0, t) for t in asked], "slice int, time double")).collect())
+    want = [-1.0, 0.0, 1.0, 1.0, 12.5, 16.0, 16.0, 16.0, 49.0, 62.0, math.nan]
+    assert [t for t, _ in got] == asked
+    same([x for _, x in got], want)
