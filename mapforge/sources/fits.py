@@ -7,7 +7,7 @@ Headers are 80-character cards in blocks of 2880 bytes; keywords are case-insens
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BLOCK = 2880
-_IMAGE = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
+IMAGE = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 _COLUMN = {"L": "S1", "B": ">u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
 
 
@@ -96,9 +96,33 @@ def hdus(data: bytes) -> Iterator[tuple[dict[str, object], int, int]]:
         at = start + -(-size // BLOCK) * BLOCK
 
 
+def units(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, object], int, int]]:
+    """As hdus(), by read(at, n) of a file of `size` bytes: headers are read, data are not."""
+    at = 0
+    while at + BLOCK <= size:
+        raw = read(at, BLOCK)
+        while True:
+            try:
+                header, behind = parse_header(raw)
+                break
+            except FitsError:
+                if at + len(raw) + BLOCK > size:
+                    raise
+                raw += read(at + len(raw), BLOCK)
+        start, n = at + behind, data_size(header)
+        if start + n > size:
+            raise FitsError("a unit is cut off")
+        yield header, start, n
+        at = start + -(-n // BLOCK) * BLOCK
+
+
 def extension(data: bytes, name: str | int | None) -> tuple[dict[str, object], int, int]:
     """The unit with this EXTNAME or number; without one the first that has data."""
-    for i, (h, start, size) in enumerate(hdus(data)):
+    return named(hdus(data), name)
+
+
+def named(all_units: Iterator[tuple[dict[str, object], int, int]], name: str | int | None) -> tuple[dict[str, object], int, int]:
+    for i, (h, start, size) in enumerate(all_units):
         if (name is None and size) or (isinstance(name, int) and i == name) or (isinstance(name, str) and str(h.get("EXTNAME", "")).strip().lower() == name.lower()):
             return h, start, size
     raise FitsError(f"extension {name!r} is missing")
@@ -108,7 +132,7 @@ def image(data: bytes, name: str | int | None = None, first: int | None = None,
     """An image as an array with the fastest axis last, scaled by BSCALE and BZERO; first and last cut the slowest axis."""
     h, start, size = extension(data, name)
     shape = tuple(int(h[f"NAXIS{i}"]) for i in range(int(h["NAXIS"]), 0, -1))
-    x = np.frombuffer(data, _IMAGE[int(h["BITPIX"])], size // (abs(int(h["BITPIX"])) // 8), start).reshape(shape)
+    x = np.frombuffer(data, IMAGE[int(h["BITPIX"])], size // (abs(int(h["BITPIX"])) // 8), start).reshape(shape)
     x = x[first:last]
     if h.get("BSCALE", 1) != 1 or h.get("BZERO", 0) != 0:
         x = x * float(h.get("BSCALE", 1)) + float(h.get("BZERO", 0))
@@ -117,7 +141,12 @@ def image(data: bytes, name: str | int | None = None, first: int | None = None,
 
 def table(data: bytes, name: str | int) -> tuple[dict[str, np.ndarray], dict[str, object]]:
     """A binary table's columns."""
-    h, start, _ = extension(data, name)
+    h, start, size = extension(data, name)
+    return rows(data[start : start + size], h, int(h["NAXIS2"])), h
+
+
+def rows(data: bytes, h: Mapping[str, object], count: int) -> dict[str, np.ndarray]:
+    """The columns of `count` rows of a binary table with this header."""
     kinds = []
     for i in range(1, int(h["TFIELDS"]) + 1):
         m = re.match(r"(\d*)([A-Z])", str(h[f"TFORM{i}"]).strip())
@@ -126,7 +155,7 @@ def table(data: bytes, name: str | int) -> tuple[dict[str, np.ndarray], dict[str
             raise FitsError(f"column format {h[f'TFORM{i}']} is not supported")
         label = str(h.get(f"TTYPE{i}", f"col{i}")).strip()
         kinds.append((label, f"S{n}") if code == "A" else (label, _COLUMN[code]) if n == 1 else (label, _COLUMN[code], (n,)))
-    raw = np.frombuffer(data, np.dtype(kinds), int(h["NAXIS2"]), start)
+    raw = np.frombuffer(data, np.dtype(kinds), count)
     out = {}
     for i, (label, *_) in enumerate(kinds, 1):
         c = raw[label]
@@ -136,7 +165,7 @@ def table(data: bytes, name: str | int) -> tuple[dict[str, np.ndarray], dict[str
             out[label] = np.char.rstrip(np.char.decode(c, "ascii"))
         else:
             out[label] = c.astype(c.dtype.newbyteorder("="))
-    return out, h
+    return out
 
 
 def card(key: str, value: object) -> bytes:
@@ -165,7 +194,7 @@ def image_bytes(x: np.ndarray, header: Mapping[str, object] = {}, name: str | No
     """An image unit (a primary one without a name), of int32, int64, float32 or float64; other kinds are widened."""
     x = np.asarray(x)
     kind = {"b": ">u1", "i": ">i8" if x.dtype.itemsize == 8 else ">i4", "u": ">i8", "f": ">f4" if x.dtype.itemsize == 4 else ">f8"}[x.dtype.kind]
-    bits = {v: k for k, v in _IMAGE.items()}[kind]
+    bits = {v: k for k, v in IMAGE.items()}[kind]
     cards = [("XTENSION", "IMAGE") if name else ("SIMPLE", True), ("BITPIX", bits), ("NAXIS", x.ndim), *[(f"NAXIS{i}", n) for i, n in enumerate(x.shape[::-1], 1)]]
     cards += [("PCOUNT", 0), ("GCOUNT", 1), ("EXTNAME", name)] if name else [("EXTEND", True)]
     raw = x.astype(kind).tobytes()

@@ -11,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import RangeFile, by_range
+
+#: Records that a task takes apart at a time.
+BLOCK = 1 << 17
+
 
 def record(npps: int, endian: str) -> np.dtype:
     e = {"little": "<", "big": ">"}[endian]
@@ -41,31 +46,36 @@ def encode(values: np.ndarray, weights: np.ndarray, pixels: np.ndarray, npixels:
     return np.array([first, first + len(values) - 1, weights.shape[1], npixels], {"little": "<i8", "big": ">i8"}[endian]).tobytes() + out.tobytes()
 
 
-def _places(slices: list[int], ndetectors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slice, det, t) of every record."""
-    s = np.concatenate([np.full(n * ndetectors, i, np.int32) for i, n in enumerate(slices)])
-    d = np.concatenate([np.repeat(np.arange(ndetectors, dtype=np.int32), n) for n in slices])
-    t = np.concatenate([np.tile(np.arange(n, dtype=np.int64), ndetectors) for n in slices])
-    return s, d, t
+def _places(slices: list[int], ndetectors: int, first: int, stop: int) -> list[pa.Array]:
+    """slice, det and t of the records [first, stop)."""
+    ends = np.cumsum(np.array(slices, np.int64) * ndetectors)
+    at = np.arange(first, stop)
+    s = np.searchsorted(ends, at, side="right")
+    n = np.array(slices, np.int64)[s]
+    inner = at - (ends[s] - n * ndetectors)
+    return [pa.array(s.astype(np.int32)), pa.array((inner // n).astype(np.int32)), pa.array(inner % n)]
 
 
 def read_tod(spark: SparkSession, path: str, slices: list[int], ndetectors: int, endian: str = "little") -> DataFrame:
-    """(slice, det, t, value, entries array<struct<pixel, weight>>); entries stop at the first pixel of -1."""
+    """(slice, det, t, value, entries array<struct<pixel, weight>>); entries stop at the first pixel of -1.
 
-    def run(batches):
-        for b in batches:
-            for data in b.column("content"):
-                raw, _ = decode(data.as_buffer().to_pybytes(), slices, ndetectors, endian)
-                s, d, t = _places(slices, ndetectors)
-                for at in range(0, len(raw), 1 << 17):
-                    part = raw[at : at + (1 << 17)]
-                    pix, w = part["pixels"]["pixel"].astype(np.int32), part["pixels"]["weight"].astype(np.float32)
-                    live = np.logical_and.accumulate(pix >= 0, axis=1)
-                    pairs = pa.StructArray.from_arrays([pa.array(pix[live]), pa.array(w[live])], ["pixel", "weight"])
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(s[at : at + len(part)]), pa.array(d[at : at + len(part)]), pa.array(t[at : at + len(part)]), pa.array(part["value"].astype(float)), pa.ListArray.from_arrays(offsets, pairs)], ["slice", "det", "t", "value", "entries"])
+    The driver reads the header and checks the size; each task reads its own records.
+    """
+    with RangeFile(path) as f:
+        kind = record(header(f.read(0, min(32, f.size)), endian)[2], endian)
+        count = sum(slices) * ndetectors
+        if f.size != 32 + count * kind.itemsize:
+            raise ValueError(f"the file has {f.size} bytes, not {32 + count * kind.itemsize}")
+
+    def decode_block(files, first, stop):
+        part = np.frombuffer(files[0].read(32 + first * kind.itemsize, (stop - first) * kind.itemsize), kind)
+        pix, w = part["pixels"]["pixel"].astype(np.int32), part["pixels"]["weight"].astype(np.float32)
+        live = np.logical_and.accumulate(pix >= 0, axis=1)
+        pairs = pa.StructArray.from_arrays([pa.array(pix[live]), pa.array(w[live])], ["pixel", "weight"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(live.sum(axis=1))]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*_places(slices, ndetectors, first, stop), pa.array(part["value"].astype(float)), pa.ListArray.from_arrays(offsets, pairs)], ["slice", "det", "t", "value", "entries"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "slice int, det int, t long, value double, entries array<struct<pixel:int,weight:float>>")
+    return by_range(spark, [path], count, BLOCK, kind.itemsize, "slice int, det int, t long, value double, entries array<struct<pixel:int,weight:float>>", decode_block)
 
 
 def matrix_of(tod: DataFrame) -> DataFrame:
@@ -74,26 +84,20 @@ def matrix_of(tod: DataFrame) -> DataFrame:
 
 
 def read_three(spark: SparkSession, signal: str, weight: str, pixel: str, slices: list[int], ndetectors: int, endian: str = "little") -> DataFrame:
-    """(slice, det, t, value, pixel, weight) of three files with one pixel for each sample."""
+    """(slice, det, t, value, pixel, weight) of three files with one pixel for each sample; a task reads its range of all three."""
     e = {"little": "<", "big": ">"}[endian]
-    total = sum(slices) * ndetectors
-
-    def column(path: str, kind: str, name: str, spark_kind: str) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                for data in b.column("content"):
-                    x = np.frombuffer(data.as_buffer(), e + kind)
-                    if len(x) != total:
-                        raise ValueError(f"{name} has {len(x)} values, not {total}")
-                    s, d, t = _places(slices, ndetectors)
-                    for at in range(0, total, 1 << 18):
-                        cut = slice(at, at + (1 << 18))
-                        yield pa.RecordBatch.from_arrays([pa.array(s[cut]), pa.array(d[cut]), pa.array(t[cut]), pa.array(x[cut].astype(x.dtype.newbyteorder("=")))], ["slice", "det", "t", name])
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"slice int, det int, t long, {name} {spark_kind}")
-
-    at = ["slice", "det", "t"]
-    return column(signal, "f8", "value", "double").join(column(weight, "f4", "weight", "float"), at).join(column(pixel, "i4", "pixel", "int"), at)
+    kinds = [np.dtype(e + k) for k in ("f8", "i4", "f4")]
+    paths, names, total = [signal, pixel, weight], ["value", "pixel", "weight"], sum(slices) * ndetectors
+    for path, name, kind in zip(paths, names, kinds):
+        with RangeFile(path) as f:
+            if f.size != total * kind.itemsize:
+                raise ValueError(f"{name} has {f.size / kind.itemsize:g} values, not {total}")
+
+    def decode_block(files, first, stop):
+        cols = [np.frombuffer(f.read(first * k.itemsize, (stop - first) * k.itemsize), k).astype(k.newbyteorder("=")) for f, k in zip(files, kinds)]
+        yield pa.RecordBatch.from_arrays([*_places(slices, ndetectors, first, stop), *map(pa.array, cols)], ["slice", "det", "t", *names])
+
+    return by_range(spark, paths, total, BLOCK, 16, "slice int, det int, t long, value double, pixel int, weight float", decode_block)
 
 
 def decode_filter(data: bytes, endian: str = "little") -> tuple[int, int, np.ndarray]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import section
 from ..operators import masks, pointing, timeline
 from . import fits
+from .ranges import RangeFile, by_range
 
 #: Time between samples before on-board compression, in seconds.
 PERIOD = 0.024996
@@ -110,43 +111,57 @@ def open_frames(spark: SparkSession, files: list[str], policy: masks.Policy = ma
 def read_status(spark: SparkSession, file: str) -> DataFrame:
     """(t, time_us, time, bbid, ra, dec, pa, chop) of a frames file."""
 
-    def run(batches):
-        for b in batches:
-            for data in b.column("content"):
-                c = {k.lower(): v for k, v in fits.table(data.as_buffer().to_pybytes(), "Status")[0].items()}
-                us = c["finetime"].astype(np.int64)
-                cols = [np.arange(len(us)), us, (us - us[0]) / 1e6, c["bbid"].astype(np.int64), *(c[k].astype(float) for k in ("raarray", "decarray", "paarray", "chopfpuangle"))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["t", "time_us", "time", "bbid", "ra", "dec", "pa", "chop"])
+    with RangeFile(file) as f:
+        header, place, size = fits.named(fits.units(f.read, f.size), "Status")
+    width, total = int(header["NAXIS1"]), int(header["NAXIS2"])
 
-    return spark.read.format("binaryFile").load(file).select("content").mapInArrow(run, "t long, time_us long, time double, bbid long, ra double, dec double, pa double, chop double")
+    def decode(files, low, high):
+        c = {k.lower(): v for k, v in fits.rows(files[0].read(place + low * width, (high - low) * width), header, high - low).items()}
+        start = {k.lower(): v for k, v in fits.rows(files[0].read(place, width), header, 1).items()}["finetime"].astype(np.int64)[0]
+        us = c["finetime"].astype(np.int64)
+        cols = [np.arange(low, high), us, (us - start) / 1e6, c["bbid"].astype(np.int64), *(c[k].astype(float) for k in ("raarray", "decarray", "paarray", "chopfpuangle"))]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["t", "time_us", "time", "bbid", "ra", "dec", "pa", "chop"])
+
+    return by_range(spark, [file], total, 1 << 16, width, "t long, time_us long, time double, bbid long, ra double, dec double, pa double, chop double", decode)
 
 
 def read_signal(spark: SparkSession, file: str, use_masks: str | list[str], first: int, stop: int) -> DataFrame:
-    """(det, t, value, masked) of the samples [first, stop) of a frames file; detectors are numbered row by row."""
+    """(det, t, value, masked) of the samples [first, stop) of a frames file; detectors are numbered row by row.
+
+    The driver reads headers; each task reads these samples of its detectors, and nothing else.
+    """
 
     def chosen(name: str, active: bool) -> bool:
         if isinstance(use_masks, list):
             return name.lower() in [m.lower() for m in use_masks]
         return {"all": True, "activated": active, "deactivated": not active, "none": False}.get(use_masks, name.lower() == use_masks.lower())
 
-    def run(batches):
-        for b in batches:
-            for content in b.column("content"):
-                data = content.as_buffer().to_pybytes()
-                signal = fits.image(data, "Signal")[0]
-                mask = np.zeros(signal.shape, bool)
-                h = fits.extension(data, "MASK")[0]
-                for i in range(int(h.get("DSETS___", 0))):
-                    words, info = fits.image(data, str(h[f"DS_{i}"]))
-                    if chosen(str(h[f"DS_{i}"]), "deactivated" not in str(info.get("INFO____", "")).lower()):
-                        bits = np.unpackbits(words.astype("<i4").view(np.uint8).reshape(*words.shape[:2], -1), axis=2, bitorder="little")
-                        mask |= bits[:, :, : signal.shape[2]].astype(bool)
-                n = signal.shape[2]
-                for det, (x, m) in enumerate(zip(signal.reshape(-1, n), mask.reshape(-1, n))):
-                    t = np.arange(first, min(stop, n))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), det, np.int32)), pa.array(t), pa.array(x[first:stop].astype(float)), pa.array(m[first:stop])], ["det", "t", "value", "masked"])
-
-    return spark.read.format("binaryFile").load(file).select("content").mapInArrow(run, "det int, t long, value double, masked boolean")
+    with RangeFile(file) as f:
+        units = list(fits.units(f.read, f.size))
+    h, place, _ = fits.named(units, "Signal")
+    kind, n, ndetectors = np.dtype(fits.IMAGE[int(h["BITPIX"])]), int(h["NAXIS1"]), int(h["NAXIS2"]) * int(h["NAXIS3"])
+    scale, zero, last = float(h.get("BSCALE", 1)), float(h.get("BZERO", 0)), min(stop, n)
+    words, planes = -(-n // 32), []
+    index = fits.named(units, "MASK")[0]
+    for i in range(int(index.get("DSETS___", 0))):
+        name = str(index[f"DS_{i}"])
+        info, at, _ = fits.named(units, name)
+        if chosen(name, "deactivated" not in str(info.get("INFO____", "")).lower()):
+            planes.append(at)
+
+    def decode(files, low, high):
+        for det in range(low, high):
+            raw = files[0].read(place + (det * n + first) * kind.itemsize, (last - first) * kind.itemsize)
+            x, m = np.frombuffer(raw, kind).astype(float) * scale + zero, np.zeros(last - first, bool)
+            w0, w1 = first // 32, -(-last // 32)
+            for at in planes:
+                packed = np.frombuffer(files[0].read(at + (det * words + w0) * 4, (w1 - w0) * 4), ">i4")
+                bits = np.unpackbits(packed.astype("<i4").view(np.uint8), bitorder="little")
+                m |= bits[first - 32 * w0 : last - 32 * w0].astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(last - first, det, np.int32)), pa.array(np.arange(first, last)), pa.array(x), pa.array(m)], ["det", "t", "value", "masked"])
+
+    width = max(last - first, 0) * kind.itemsize
+    return by_range(spark, [file], ndetectors if width else 0, 16, width, "det int, t long, value double, masked boolean", decode)
 
 
 def save(tod: DataFrame, status: DataFrame, path: str, rows: int, columns: int, unit: str = "Jy / detector", header: Mapping[str, object] = {}) -> None:
