@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ranges import TASK_BYTES, RangeFile
+
 BLOCK = 2880
 IMAGE = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 _COLUMN = {"L": "S1", "B": ">u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
@@ -283,24 +285,22 @@ def write_map(sky: DataFrame, path: str, header: Mapping[str, object], value: st
 
 
 class _TablePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
 
 
 class FitsTableSource(DataSource):
-    """spark.read.format("fits").option("extension", name).load(path): a binary table on a local or mounted path."""
+    """spark.read.format("fits").option("extension", name).load(path): a binary table, whose rows are dealt by byte ranges."""
 
     @classmethod
     def name(cls) -> str:
         return "fits"
 
-    def _first(self) -> bytes:
-        return open(self.options["path"].removeprefix("file:"), "rb").read()
-
     def schema(self):
-        cols, _ = table(self._first(), self.options.get("extension", "1") if not self.options.get("extension", "1").isdigit() else int(self.options.get("extension", "1")))
+        with RangeFile(self.options["path"]) as f:
+            cols = rows(b"", _unit(f, self.options)[0], 0)
         kinds = {"b": "boolean", "U": "string"}
-        width = {("i", 1): "short", ("u", 1): "short", ("i", 2): "short", ("i", 4): "int", ("i", 8): "long", ("f", 4): "float", ("f", 8): "double"}
+        width = {("u", 1): "short", ("i", 2): "short", ("i", 4): "int", ("i", 8): "long", ("f", 4): "float", ("f", 8): "double"}
         one = lambda c: kinds.get(c.dtype.kind) or width[(c.dtype.kind, c.dtype.itemsize)]
         return ", ".join(f"`{n}` {one(c) if c.ndim == 1 else f'array<{one(c)}>'}" for n, c in cols.items())
 
@@ -308,18 +308,29 @@ class FitsTableSource(DataSource):
         return _FitsTableReader(self.options)
 
 
+def _unit(f: RangeFile, options: Mapping[str, str]) -> tuple[dict[str, object], int, int]:
+    name = options.get("extension", "1")
+    return named(units(f.read, f.size), int(name) if name.isdigit() else name)
+
+
 class _FitsTableReader(DataSourceReader):
     def __init__(self, options):
-        self.options = dict(options)
+        self.options = {k: options[k] for k in ("path", "extension") if k in options}
+        with RangeFile(self.options["path"]) as f:
+            self.header, self.place, _ = _unit(f, self.options)
+        self.width = int(self.header["NAXIS1"])
 
     def partitions(self):
-        return [_TablePartition(self.options["path"].removeprefix("file:"))]
+        count, each = int(self.header["NAXIS2"]), max(1, TASK_BYTES // max(self.width, 1))
+        return [_TablePartition(at, min(at + each, count)) for at in range(0, count, each)] or [_TablePartition(0, 0)]
 
     def read(self, partition):
-        name = self.options.get("extension", "1")
-        cols, _ = table(open(partition.path, "rb").read(), int(name) if name.isdigit() else name)
-        for row in zip(*(c.tolist() for c in cols.values())):
-            yield tuple(row)
+        with RangeFile(self.options["path"]) as f:
+            for at in range(partition.low, partition.high, 1 << 16):
+                n = min(1 << 16, partition.high - at)
+                cols = rows(f.read(self.place + at * self.width, n * self.width), self.header, n)
+                cols = {k: c.astype(np.int16) if c.dtype.kind == "u" else c for k, c in cols.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(list(c) if c.ndim > 1 else c) for c in cols.values()], list(cols))
 
 
 def register(spark: SparkSession) -> None:

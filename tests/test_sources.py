@@ -163,6 +163,34 @@ def test_compressed_maps(spark):
         pipeline.maps(tod, matrix, 3)
 
 
+def test_byte_ranges(spark, tmp_path, monkeypatch):
+    """Several tasks read what one does; a file that is cut off is an error."""
+    from mapforge.sources import ranges
+
+    n = 3 * (5 + 4)
+    value, weight, pixel = np.arange(n) * 1.5, np.ones((n, 1), np.float32), np.arange(n)[:, None]
+    path = tmp_path / "tod.bin"
+    path.write_bytes(madmap.encode(value, weight, pixel, 50))
+    whole = [tuple(r) for r in madmap.read_tod(spark, str(path), [5, 4], 3).orderBy("slice", "det", "t").collect()]
+    monkeypatch.setattr(ranges, "TASK_BYTES", 64)
+    monkeypatch.setattr(madmap, "BLOCK", 4)
+    tod = madmap.read_tod(spark, path.as_uri(), [5, 4], 3)
+    assert tod.rdd.getNumPartitions() == 7 and [tuple(r) for r in tod.orderBy("slice", "det", "t").collect()] == whole
+    path.write_bytes(path.read_bytes()[:-1])
+    with pytest.raises(ValueError):
+        madmap.read_tod(spark, str(path), [5, 4], 3)
+    cols = {"N": np.arange(100, dtype=np.int32), "X": np.linspace(0, 1, 100, dtype=np.float32)}
+    table = str(tmp_path / "t.fits")
+    fits.write_bytes(spark, table, fits.image_bytes(np.zeros(1, np.int32)) + fits.table_bytes(cols, "T"))
+    fits.register(spark)
+    read = spark.read.format("fits").option("extension", "t").load(table)
+    assert read.dtypes == [("N", "int"), ("X", "float")] and [r.N for r in read.orderBy("N").collect()] == list(range(100))
+    reader = fits.FitsTableSource({"path": table, "extension": "T"}).reader(None)
+    monkeypatch.setattr(fits, "TASK_BYTES", 80)
+    parts = reader.partitions()
+    assert len(parts) == 10 and sum(b.num_rows for p in parts for b in reader.read(p)) == 100
+
+
 def test_streams(spark, tmp_path):
     rows = [(i % 2, 1.0, float(i), i == 3) for i in range(6)]
     spark.createDataFrame(rows, "pixel int, weight double, value double, masked boolean").write.parquet(str(tmp_path / "in"))
