@@ -192,3 +192,44 @@ def test_positions_of_repeated_times(spark):
     want = [-1.0, 0.0, 1.0, 1.0, 12.5, 16.0, 16.0, 16.0, 49.0, 62.0, math.nan]
     assert [t for t, _ in got] == asked
     same([x for _, x in got], want)
+
+
+def test_sharp_matrix_by_clipping(spark):
+    """Each weight is the area of a detector's projected corners within a pixel, by clipping polygon by polygon."""
+    from mapforge.functions.wcs import Wcs
+
+    w = Wcs.square((30.0, 20.0), 0.002, (12, 10))
+    points = [(0, t, 30.0 + 0.0011 * t, 20.0 - 0.0007 * t, 17.0 * t) for t in range(4)]
+    camera = pointing.detector_grid(spark, 2, 2, 9.0, 0.8, angle=10.0)
+    got = {(r.t, r.det, r.pixel): r.weight for r in pointing.sharp_matrix(spark.createDataFrame(points, "slice int, t long, ra double, dec double, pa double"), camera, w).filter("weight > 1e-6").collect()}
+
+    def clipped(poly, axis, bound, sign):
+        out = []
+        for p, q in zip(poly, poly[1:] + poly[:1]):
+            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if a >= 0:
+                out.append(p)
+            if a * b < 0:
+                f = a / (a - b)
+                out.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
+        return out
+
+    want = {}
+    for _, t, ra, dec, pa in points:
+        for d in camera.collect():
+            poly, c, s = [], math.cos(math.radians(pa)), math.sin(math.radians(pa))
+            for u, v in zip(d.us, d.vs):
+                dd = math.radians(dec + (-u * s + v * c) / 3600)
+                a, d0 = math.radians(ra + (u * c + v * s) / 3600 / math.cos(math.radians(dec)) - 30), math.radians(20)
+                k = math.sin(dd) * math.sin(d0) + math.cos(dd) * math.cos(d0) * math.cos(a)
+                poly.append((6.5 - math.degrees(math.cos(dd) * math.sin(a) / k) / 0.002, 5.5 + math.degrees((math.sin(dd) * math.cos(d0) - math.cos(dd) * math.sin(d0) * math.cos(a)) / k) / 0.002))
+            for x in range(12):
+                for y in range(10):
+                    left = poly
+                    for axis, low in ((0, x + 0.5), (1, y + 0.5)):
+                        left = clipped(clipped(left, axis, low, 1), axis, low + 1, -1) if left else left
+                    area = abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(left, left[1:] + left[:1]))) / 2 if left else 0
+                    if area > 1e-6:
+                        want[t, d.det, x + 12 * y] = area
+    assert len(want) > 20 and got.keys() == want.keys()
+    assert all(abs(got[k] - v) < 1e-5 for k, v in want.items())
