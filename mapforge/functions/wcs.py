@@ -10,6 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def check_numbered(naxis: tuple[int, int]) -> None:
+    """Pixels are numbered by 32-bit integers: a map whose pixels are to be numbered can't be larger, though a header can."""
+    if naxis[0] * naxis[1] > 2**31 - 1:
+        raise ValueError("a map has 2**31 - 1 pixels at most")
+
+
 @dataclass(frozen=True)
 class Wcs:
     """naxis, crpix, crval and cd are (x, y); pixel centres lie at integers, the first at 1."""
@@ -21,10 +27,6 @@ class Wcs:
     ctype: tuple[str, str] = ("RA---TAN", "DEC--TAN")
     cunit: tuple[str, str] = ("deg", "deg")
 
-    def __post_init__(self) -> None:
-        if self.naxis[0] * self.naxis[1] > 2**31 - 1:
-            raise ValueError("a map has 2**31 - 1 pixels at most")
-
     @classmethod
     def from_header(cls, header: Mapping[str, object]) -> Wcs:
         """CD matrix, or CDELT with CROTA2; all four CD keys or none. Only RA---TAN, DEC--TAN."""
@@ -59,11 +61,13 @@ class Wcs:
     @classmethod
     def square(cls, center: tuple[float, float], step: float, naxis: tuple[int, int], angle: float = 0.0) -> Wcs:
         """Square pixels of `step` degrees around a centre; right ascension grows to the left."""
+        check_numbered(naxis)
         r = math.radians(angle)
         cd = ((-step * math.cos(r), -step * math.sin(r)), (-step * math.sin(r), step * math.cos(r)))
         return cls(naxis, ((naxis[0] + 1) / 2, (naxis[1] + 1) / 2), center, cd)
 
     def resized(self, naxis: tuple[int, int], shift: tuple[float, float]) -> Wcs:
+        """The header of a map of any size with its first pixel elsewhere."""
         return replace(self, naxis=naxis, crpix=(self.crpix[0] + shift[0], self.crpix[1] + shift[1]))
 
     def inverse(self) -> tuple[tuple[float, float], tuple[float, float]]:
@@ -101,6 +105,7 @@ def pixel_to_sky(wcs: Wcs, x: Column, y: Column) -> tuple[Column, Column]:
 
 def pixel_index(wcs: Wcs, x: Column, y: Column) -> Column:
     """0-based index of the pixel that holds a position, halves going up; -1 outside the map."""
+    check_numbered(wcs.naxis)
     i, j = F.floor(x + 0.5), F.floor(y + 0.5)
     inside = (i >= 1) & (i <= wcs.naxis[0]) & (j >= 1) & (j <= wcs.naxis[1])
     return F.when(inside, i - 1 + (j - 1) * wcs.naxis[0]).otherwise(-1).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.angles import barycenter_lonlat
-from ..functions.wcs import Wcs, pixel_index, projection_scale, sky_to_pixel
+from ..functions.wcs import Wcs, check_numbered, pixel_index, projection_scale, sky_to_pixel
 
 COORDINATES = ["ra", "dec", "pa", "chop"]
 
@@ -125,6 +125,7 @@ def sharp_matrix(pointing: DataFrame, detectors: DataFrame, wcs: Wcs, keys: list
 
 def overlap_matrix(polygons: DataFrame, keys: list[str], naxis: tuple[int, int]) -> DataFrame:
     """(keys, k, pixel, weight, outside) of polygons given as arrays xs and ys in 1-based pixel coordinates."""
+    check_numbered(naxis)
     nx, ny = naxis
     kinds = ", ".join(f"`{k}` {polygons.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -158,7 +159,10 @@ def center(pointing: DataFrame) -> tuple[float, float]:
 
 
 def map_header(pointing: DataFrame, detectors: DataFrame, step: float) -> Wcs:
-    """A map of square pixels of `step` arcsec around the barycentre that holds every detector corner at every kept pointing."""
+    """A map of square pixels of `step` arcsec around the barycentre that holds every detector corner at every kept pointing.
+
+    A long scan's header may have more pixels than can be numbered; the matrices then refuse it.
+    """
     base = Wcs.square(center(pointing), step / 3600, (1, 1))
     corners = detectors.select(F.explode(F.arrays_zip("us", "vs")).alias("c")).select(F.col("c.us").alias("u"), F.col("c.vs").alias("v"))
     got = corners.toPandas()  # one camera's corners

@@ -682,7 +682,8 @@ def sharp_matrix(spark, d):
 def map_header(spark, d):
     p = T.pointing(spark, d).withColumn("masked", F.lit(False)).withColumn("removed", F.lit(False))
     w = pointing.map_header(p, _camera(spark), 18.0)
-    return spark.createDataFrame([(w.naxis[0], w.naxis[1], round(w.crval[0], 6), round(w.crval[1], 6), w.crpix[0], w.crpix[1])], "nx int, ny int, ra double, dec double, x double, y double")
+    ra = w.crval[0] - 360 if w.crval[0] > 180 else w.crval[0]  # as atan2 gives it
+    return spark.createDataFrame([(w.naxis[0], w.naxis[1], round(ra, 6), round(w.crval[1], 6), w.crpix[0], w.crpix[1])], "nx int, ny int, ra double, dec double, x double, y double")
 
 
 # Instrument

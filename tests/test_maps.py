@@ -233,3 +233,21 @@ def test_sharp_matrix_by_clipping(spark):
                         want[t, d.det, x + 12 * y] = area
     assert len(want) > 20 and got.keys() == want.keys()
     assert all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+
+
+def test_header_of_more_pixels_than_can_be_numbered(spark):
+    """A header may be larger than a map; only the matrices, which number its pixels, refuse it."""
+    from mapforge.functions.wcs import Wcs
+
+    spots = [(ra, dec) for ra in (330.0, 30.0) for dec in (-30.0, 30.0)]
+    points = spark.createDataFrame([(0, t, ra, dec, 0.0, False, False) for t, (ra, dec) in enumerate(spots)], "slice int, t long, ra double, dec double, pa double, masked boolean, removed boolean")
+    camera = pointing.detector_grid(spark, 2, 2, 9.0, 0.8).withColumn("area", F.lit(81.0))
+    w = pointing.map_header(points, camera, 3.0)
+    corner = (9.0 / 2 + 9.0 * math.sqrt(0.8) / 2) / 3600
+    far, up = math.radians(30 + corner / math.cos(math.radians(30))), math.radians(30 + corner)
+    x, y = math.degrees(math.tan(far)) * 1200, math.degrees(math.tan(up) / math.cos(far)) * 1200
+    assert w.naxis == tuple(math.floor(1 + v + 0.5) - math.floor(1 - v + 0.5) + 1 for v in (x, y)) and w.naxis[0] * w.naxis[1] > 2**31 - 1
+    assert w.crpix == tuple(2 - math.floor(1 - v + 0.5) for v in (x, y)) and Wcs.from_header(w.to_header()) == w
+    for matrix in (pointing.nearest_matrix, pointing.sharp_matrix):
+        with pytest.raises(ValueError):
+            matrix(points, camera, w)

@@ -49,3 +49,15 @@ def test_entry_runs_without_the_other_parts(spark):
 def test_other_queries_run(spark, name):
     """Queries without SQL: their rows are held against dense arithmetic in other tests; here all of them run."""
     assert queries()[name](spark, D).count() > 0
+
+
+@pytest.mark.parametrize("n", [190_000, 330_000])
+def test_header_of_a_long_scan(spark, tmp_path, n):
+    """One slice over 190 or 330 degrees: its header has more pixels than a map may have, and the SQL's numbers."""
+    columns = "id AS o_orderkey, 0L AS o_custkey, 'F' AS o_orderstatus, double(1000 + id % 499000) AS o_totalprice"
+    spark.range(n).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(oracle_sql()["map_header"]).fetchall()
+    assert want[0][0] * want[0][1] > 2**31 - 1
+    assert [tuple(r) for r in queries()["map_header"](spark, str(tmp_path)).collect()] == want
