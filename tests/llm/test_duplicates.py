@@ -365,6 +365,47 @@ def test_words_that_go_round_make_few_chains(spark):
     assert len(got) <= 4 * 16 and all(found_words(got, d) >= set(range(1, 601)) for d in range(1, 5))
 
 
+def test_runs_inside_what_seeds_match_are_not_matched_again(spark, monkeypatch):
+    """Six copies of 200 words have 151 runs of 50 each; the seeds have found all of them but those at the edges."""
+    made = collections.Counter()
+
+    def counted(df, name):
+        out = common.saved(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(passages, "saved", counted)
+    p = [f"p{i}" for i in range(200)]
+    df = spark.createDataFrame([(d, " ".join([f"a{d}", *p, f"b{d}"])) for d in range(6)], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    assert all(found_words(got, d) == set(range(1, 201)) and {r.source_id for r in got if r.doc_id == d} == {0} for d in range(1, 6))
+    assert made["matched-runs"] <= 5 * 2 * (passages.WINNOW - 1)
+
+
+def test_pieces_of_passages_against_brute_force(spark):
+    """Pieces begin and end anywhere, so that seeds' first holders end inside the runs that later documents share."""
+    rnd = random.Random(9)
+    pool = [[f"w{i}x{j}" for j in range(150)] for i in range(3)]
+    docs = {}
+    for d in range(70):
+        w = []
+        for n in range(rnd.randint(1, 4)):
+            a = rnd.randrange(100)
+            w += [*rnd.choice(pool)[a : a + rnd.randint(44, 100)], f"d{d}n{n}"][: 10**6 if rnd.random() < 0.5 else -1]
+        docs[d] = w
+    got = passages.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).collect()
+    want = in_earlier_documents(docs, 50)
+    assert all(want[d] <= found_words(got, d) for d in docs)
+
+
+def test_two_texts_of_a_doc_id_are_not_taken_for_one_run(spark):
+    """The two texts with id 0 have the halves of a passage in the places of the whole; only id 1 has a run of 50 words of it."""
+    p = [f"p{i}" for i in range(80)]
+    rows = [(0, p[:40] + [f"a{i}" for i in range(40)]), (0, [f"b{i}" for i in range(36)] + p[36:]), (1, p), (2, p)]
+    got = passages.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert any((r.doc_id, r.source_id, r.start, r.stop) == (2, 1, 0, 80) for r in got)
+
+
 def test_covering_keeps_what_is_covered():
     rnd = random.Random(4)
     for _ in range(300):
