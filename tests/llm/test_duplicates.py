@@ -365,21 +365,20 @@ def test_words_that_go_round_make_few_chains(spark):
     assert len(got) <= 4 * 16 and all(found_words(got, d) >= set(range(1, 601)) for d in range(1, 5))
 
 
-def test_runs_inside_what_seeds_match_are_not_matched_again(spark, monkeypatch):
-    """Six copies of 200 words have 151 runs of 50 each; the seeds have found all of them but those at the edges."""
-    made = collections.Counter()
-
-    def counted(df, name):
-        out = common.saved(df, name)
-        made[name] += out.count()
-        return out
-
-    monkeypatch.setattr(passages, "saved", counted)
-    p = [f"p{i}" for i in range(200)]
-    df = spark.createDataFrame([(d, " ".join([f"a{d}", *p, f"b{d}"])) for d in range(6)], "doc_id long, text string")
-    got = passages.repeated_passages(df).collect()
-    assert all(found_words(got, d) == set(range(1, 201)) and {r.source_id for r in got if r.doc_id == d} == {0} for d in range(1, 6))
-    assert made["matched-runs"] <= 5 * 2 * (passages.WINNOW - 1)
+def test_joins_are_by_hash_where_parts_are_small(spark, monkeypatch):
+    """Seeds and runs are joined without sorting them; the session has its own setting again afterwards."""
+    key, seen = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", {}
+
+    def noted(df, name):
+        seen[name] = spark.conf.get(key)
+        return common.saved(df, name)
+
+    monkeypatch.setattr(passages, "saved", noted)
+    before = spark.conf.get(key)
+    p = " ".join(f"p{i}" for i in range(90))
+    got = passages.repeated_passages(spark.createDataFrame([(d, p) for d in range(3)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2} and spark.conf.get(key) == before == seen["chains"]
+    assert seen["shared"] == seen["matched-runs"] == str(common.HASHED_BYTES)
 
 
 def test_pieces_of_passages_against_brute_force(spark):
